@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 _SENT: set[str] = set()
 
 
-def session(cores: str = "*", partitions: int = 8) -> SparkSession:
+def session(cores: str = "*", partitions: int = 8, checkpoints: str | None = None) -> SparkSession:
     """A local session with the settings that tests and the benchmark use."""
+    builder = SparkSession.builder.config("spark.checkpoint.dir", checkpoints) if checkpoints else SparkSession.builder
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")

@@ -10,8 +10,22 @@ from pyspark.sql import functions as F
 
 
 def import_dir(spark: SparkSession, path: str) -> DataFrame:
-    """files(path, content, mode, mtime_ns) of all regular files below a folder that Spark's readers reach."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    """files(path, content, mode, mtime_ns) of all regular files below a folder that Spark's readers reach.
+
+    Spark's scan passes over empty files; they are found by listing, as the scan's own files are.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content", "modificationTime")
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, empty = fs.listFiles(top, True), []
+    while found.hasNext():
+        f = found.next()
+        if f.getLen() == 0:
+            empty.append((f.getPath().toString(), bytearray(), f.getModificationTime()))
+    if empty:
+        none = spark.createDataFrame(empty, "path string, content binary, ms long")
+        raw = raw.unionByName(none.select("path", "content", F.timestamp_millis("ms").alias("modificationTime")))
     root = "/".join(p for p in path.split("://")[-1].split("/") if p)
     inside = F.regexp_replace(F.col("path"), r"^[a-z0-9]+:/*", "")
     return raw.select(F.substring(inside, len(root) + 2, 4096).alias("path"), "content", F.lit(0o644).alias("mode"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"))

@@ -10,9 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark(tmp_path_factory):
     from palimpsest.session import session
 
-    s = session("4", 4)
+    s = session("4", 4, f"file://{tmp_path_factory.mktemp('shared')}")
     s.sparkContext.setLogLevel("ERROR")
-    s.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
-    s.conf.set("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}")
     yield s
     s.stop()

@@ -149,28 +149,34 @@ def test_diff(cases):
 @pytest.mark.parametrize("resolve", ["ours", "theirs"])
 def test_merge(cases, resolve):
     base, ours, theirs, (b, o, t) = cases
-    got = {(r.path, r.kind) for r in M.merge(b, o, t, resolve).collect() if "/" in r.path}
-    want, reported = set(), set()
-    for i in range(len(base)):
-        m, found = merge(base[i], ours[i], theirs[i], resolve)
-        want |= {(f"t{i}/{p}", k) for p, k in flat(m)}
-        reported |= {(f"t{i}/{p}", kind) for kind, ps in found.items() for p in ps}
-    # A directory that the merge leaves empty is a row here and there.
-    assert got == want
-    assert {tuple(r) for r in M.outcome(b, o, t).collect()} == reported
-
-
-def named(spark, **content):
-    df = spark.createDataFrame([Row(path=p.replace("__", "/").replace("_", "."), content=c, mode=420, mtime_ns=0) for p, c in content.items()], "path string, content string, mode int, mtime_ns long")
+    got = {(r.path, r.kind) for r in M.merge(b, o, t, resolve).collect()}
+    forest = [{f"t{i}": ("dir", t) for i, t in enumerate(x)} for x in (base, ours, theirs)]
+    want, found = merge(*forest, resolve)
+    assert got == set(flat(want))
+    assert {tuple(r) for r in M.outcome(b, o, t).collect()} == {(p, kind) for kind, ps in found.items() for p in ps}
+
+
+def named(spark, mtime=0, **content):
+    df = spark.createDataFrame([Row(path=p.replace("__", "/").replace("_", "."), content=c, mode=420, mtime_ns=mtime) for p, c in content.items()], "path string, content string, mode int, mtime_ns long")
     return T.build(T.file_entries(df))
 
 
 def test_written_out_merge(spark):
     base = named(spark, a_txt="a", b_txt="b", gone_txt="g", dir__x="x")
-    ours = named(spark, a_txt="A", b_txt="b", gone_txt="g", dir__x="x")
-    theirs = named(spark, a_txt="a", b_txt="B", dir__x="x", dir__y="y")
+    ours = named(spark, 1, a_txt="A", b_txt="b", gone_txt="g", dir__x="x")
+    theirs = named(spark, 2, a_txt="a", b_txt="B", dir__x="x", dir__y="y")
     assert {tuple(r) for r in M.outcome(base, ours, theirs).collect()} == {(p, "taken") for p in ("b.txt", "dir/y", "gone.txt")}
     assert {r.path for r in M.merge(base, ours, theirs).collect() if r.kind == "file"} == {"a.txt", "b.txt", "dir/x", "dir/y"}
+    # A directory that ours has not touched at all, times included, is taken whole.
+    ours = named(spark, a_txt="A", b_txt="b", gone_txt="g", dir__x="x")
+    assert {tuple(r) for r in M.outcome(base, ours, theirs).collect()} == {(p, "taken") for p in ("b.txt", "dir", "gone.txt")}
+
+
+def test_change_beats_deletion(spark):
+    base = named(spark, dir__a="a", dir__b="b", c="c")
+    ours, theirs = named(spark, c="c"), named(spark, dir__a="A", dir__b="b", c="c")
+    assert {r.path for r in M.merge(base, ours, theirs).collect()} == {"dir", "dir/a", "dir/b", "c"}
+    assert {tuple(r) for r in M.outcome(base, ours, theirs).collect()} == {("dir", "taken")}
 
 
 def test_keep_both(spark):
