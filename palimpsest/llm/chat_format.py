@@ -37,13 +37,13 @@ def observe(line: str, first: bool) -> tuple[int, str]:
 
 
 def _tables() -> np.ndarray:
-    """Log weights of a step, [observation, role before (or START), role]."""
+    """Log weights of a step in millionths, [observation, role before (or START), role]: sums of integers are exact."""
     out = np.zeros((48, 4, 3))
     for o in range(48):
         marker, first, asks, length = o % 4, o // 4 % 2, o // 8 % 2, o // 16
         emit = _MARKED[:, marker] * first + np.log(_ASKS if asks else 1 - _ASKS) + _LONG[:, length]
         out[o] = (_CHANGE if first else _STAY) + emit
-    return out
+    return np.round(out * 1e6).astype(np.int64)
 
 
 STEPS = _tables()
@@ -118,7 +118,7 @@ def _bounds(rows: DataFrame) -> DataFrame:
             before.append(at)
         return pd.DataFrame({"conv_id": x["conv_id"], "block": x["block"], "before": before[::-1], "last": last[::-1]})
 
-    tables = arrow(_dealt(some), reduce, "conv_id long, block long, m array<double>")
+    tables = arrow(_dealt(some), reduce, "conv_id long, block long, m array<bigint>")
     return tables.groupBy("conv_id").applyInPandas(solve, "conv_id long, block long, before int, last int")
 
 
@@ -131,7 +131,7 @@ def parse(transcripts: DataFrame) -> DataFrame:
 
     The lines of a conversation, in the order of turn and text, are observed by their speaker marker (if any), whether
     a turn may begin there, a question mark and their length; the likeliest sequence of roles is decoded over the whole
-    conversation, exactly, in blocks of turns. rendered has each run of lines of one role as
+    conversation, exactly, in blocks of turns (of equally likely sequences, blocks decide which). rendered has each run of lines of one role as
     `<|role|>`, the lines without markers, and `<|end|>`; roles has the role of each run.
 
     Null or empty text: one empty line, which gets a role from its neighbours. Null turn: after all others. A row
