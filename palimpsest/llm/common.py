@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -11,11 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import cut, ship
 
 WHITE = r"\x20\x09-\x0D"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 U64 = np.uint64
+__all__ = ["SEGMENT", "U64", "Spans", "arrow", "ascii_lower", "components", "cut", "has_bits", "joined", "log2_bits_for", "mix", "portions", "runs", "seen_bits", "signed", "table", "texts", "window_hashes"]
 
 
 def ascii_lower(c: Column) -> Column:
@@ -23,24 +23,6 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only a local session may go without the setting."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return "/tmp/checkpoints"
-
-
-def cut(df: DataFrame, name: str = "t") -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage ends there, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def arrow(df: DataFrame, f, schema: str) -> DataFrame:
     """mapInArrow, after the package has been sent to the executors."""
     ship(df.sparkSession)

@@ -43,8 +43,7 @@ def moment(demand: Column, slope: Column) -> Column:
     The weight of a source at time t in [0, 1) is its mean weight times 1 + slope * (2t - 1), whose integral that is.
     """
     b = 1 - slope
-    root = (F.sqrt(b * b + 4 * slope * demand) - b) / (2 * slope)
-    return F.when(F.abs(slope) < 1e-9, demand).otherwise(F.when(slope == 0, demand).otherwise(root))
+    return F.when(slope == 0, demand).otherwise((F.sqrt(b * b + 4 * slope * demand) - b) / (2 * slope)) + F.lit(0.0)
 
 
 def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
