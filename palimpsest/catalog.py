@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 from .functions import scalars as S
 from .operators import cache, chunking, diff, history, merge, overlay, reach, refs, tree
 from .plans import versions as V
+from .plans.repository import Repository
 from .plans.versions import hashed, table
+from .session import shared_dir
 from .streaming import sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -753,3 +756,16 @@ def _commands(spark: SparkSession, sf: str) -> DataFrame:
 )
 def ref_replay(spark: SparkSession, sf: str) -> DataFrame:
     return refs.replay(_commands(spark, sf))
+
+
+@query("q39_repository_merge", _merged_sql("ours").replace("SELECT o.path, o.kind, o.mode, o.content_id", "SELECT o.path, o.mode, o.content_id").replace("SELECT t.path, t.kind, t.mode, t.content_id", "SELECT t.path, t.mode, t.content_id").replace("WHERE r.path <> ''", "WHERE kind = 'file' AND r.path <> ''"))
+def repository_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Import, fork, two imports and a merge in a new repository; the files that the branch then has."""
+    repo = Repository.init(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/repo-{uuid.uuid4().hex[:12]}", chunker=(1024, 4096, 16384))
+    data = lambda v: V.files(spark, sf, v).withColumn("data", F.encode("content", "UTF-8"))
+    repo.import_files(data("base"), "main", 100)
+    repo.change("fork", "main", "feature", 110)
+    repo.import_files(data("ours"), "main", 120)
+    repo.import_files(data("theirs"), "feature", 130)
+    repo.merge("main", "feature", 140, resolve="ours")
+    return repo.entries("main").where("kind = 'file'").select("path", "mode", "content_id")

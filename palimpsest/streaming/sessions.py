@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -82,6 +82,16 @@ def stream_commits(writes: DataFrame, quiet_s: int = QUIET_S, dirty_s: int = DIR
     return w.groupBy("mount").applyInPandasWithState(update, "mount long, first long, last long, writes long", "first long, last long, writes long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def follow(spark: SparkSession, root: str, *names: str) -> DataFrame:
+    """A stream of (name, head, number) of the branches of a repository, from each state that is written to it; each new
+    head of a branch comes once."""
+    states = spark.readStream.format("text").option("wholetext", "true").option("pathGlobFilter", "*.json").load(f"{root}/state")
+    number = F.regexp_extract(F.input_file_name(), r"(\d+)\.json$", 1).cast("long")
+    branches = F.from_json("value", "branches map<string, struct<head: string>>")["branches"]
+    out = states.select(number.alias("number"), F.explode(F.map_entries(branches)).alias("b")).select(F.col("b.key").alias("name"), F.col("b.value.head").alias("head"), "number")
+    return (out.where(F.col("name").isin(*names)) if names else out).dropDuplicates(["name", "head"])
+
+
 def publish_once(batch: DataFrame, batch_id: int, folder: str) -> bool:
     """Writes a micro-batch under its id; a batch that was published before is left alone. For foreachBatch."""
     path = f"{folder}/batch={batch_id}"
