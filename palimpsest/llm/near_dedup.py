@@ -15,7 +15,8 @@ from .common import U64, Spans, _SPACE, arrow, components, cut, has_bits, joined
 #: Bands of coordinates: at similarity 0.8 a pair misses all bands once in 300,000 times, (1 - 0.8**5)**32.
 BANDS, ROWS = 32, 5
 EMPTY = U64(0xFFFFFFFFFFFFFFFF)
-BLOCK = 200
+#: Texts of a pivot that are compared in one block, and the share of coordinates that must agree.
+BLOCK, AGREE = 400, 0.66
 
 
 def shingles(blobs: list[bytes], k: int) -> list[np.ndarray]:
@@ -134,33 +135,40 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return arrow(j.select("a", "b", "x", "y"), run, "a long, b long")
 
 
-def _unresolved(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of a bucket that no link joins yet and whose sketches agree in 0.6 of the coordinates or more.
+def _unresolved(pairs: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join what the pivots left apart.
 
-    A bucket is dealt in blocks of about BLOCK members, and each pair of blocks is compared by a task of its own, so
-    that no task holds a whole bucket. A pair of similarity 0.8 agrees in so few coordinates once in 10**9 times.
+    Two texts of a bucket both stand in a pair with its pivot, so each pivot's texts are compared with each other, if
+    they are not of one component yet. They are dealt in blocks of about BLOCK, and each pair of blocks is a group of its
+    own with the full sets: no task holds all texts of a pivot, no pair becomes a row, only links do. Pairs whose sketches
+    agree in less than AGREE of the coordinates are passed over; one of similarity 0.8 does once in 100,000 times.
     """
-    named = members.join(labels, "node", "left").select("band", "node", "pivot", F.coalesce("root", "node").alias("root"))
-    others = named.where("node <> pivot").groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("c")).where("r1 <> r2")
-    few = named.where("node <> pivot").join(cut(others.select("band", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "buckets"), "band")
-    few = cut(few.select("band", "node", "root", "blocks", F.pmod(F.hash("node"), "blocks").alias("i")), "loose")
-    sk = classes.select(F.col("hi").alias("node"), "sketch", "n")
-    dealt = few.join(sk, "node").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "node", "root", "n", "sketch")
+    named = pairs.join(labels, F.col("a") == F.col("node"), "left").select("a", "b", F.coalesce("root", "a").alias("root"))
+    several = named.groupBy("b").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("c")).where("r1 <> r2")
+    several = cut(several.select("b", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "several")
+    few = cut(named.join(several, "b").select("b", F.col("a").alias("node"), "root", "blocks", F.pmod(F.hash("a"), "blocks").alias("i")), "few")
+    held = few.join(classes.select(F.col("hi").alias("node"), "sketch"), "node").join(sets, "node")
+    dealt = held.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("b", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "node", "root", "sketch", "elements")
 
     def compare(x: pd.DataFrame) -> pd.DataFrame:
         s = np.frombuffer(b"".join(x["sketch"]), np.uint8).reshape(len(x), -1)
-        p, q, i = x["p"].iat[0], x["q"].iat[0], x["i"].to_numpy()
-        left, right = np.flatnonzero(i == p), np.flatnonzero(i == q)
-        root, node, n = x["root"].to_numpy(), x["node"].to_numpy(), x["n"].to_numpy()
+        sets = [np.frombuffer(e, U64) for e in x["elements"]]
+        n = np.array([len(e) for e in sets])
+        node, i = x["node"].to_numpy(), x["i"].to_numpy()
+        group = np.unique(x["root"].to_numpy(), return_inverse=True)[1]
+        right = np.flatnonzero(i == x["q"].iat[0])
         out = []
-        for u in left:
-            v = right[(root[right] != root[u]) & (10 * np.minimum(n[right], n[u]) >= 8 * np.maximum(n[right], n[u]))]
-            v = v[(s[v] == s[u]).mean(axis=1) >= 0.6] if len(v) else v
-            out.append(np.stack((np.minimum(node[v], node[u]), np.maximum(node[v], node[u]))))
-        both = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-        return pd.DataFrame({"a": both[0], "b": both[1]})
+        for u in np.flatnonzero(i == x["p"].iat[0]):
+            v = right[(group[right] != group[u]) & (100 * np.minimum(n[right], n[u]) >= percent * np.maximum(n[right], n[u]))]
+            for w in v[(s[v] == s[u]).mean(axis=1) >= AGREE] if len(v) else v:
+                if group[w] != group[u]:
+                    both = len(np.intersect1d(sets[u], sets[w], assume_unique=True))
+                    if 100 * both >= percent * (n[u] + n[w] - both):
+                        out.append((node[u], node[w]))
+                        group[group == group[w]] = group[u]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return dealt.groupBy("band", "p", "q").applyInPandas(compare, "a long, b long").distinct()
+    return dealt.groupBy("b", "p", "q").applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -184,11 +192,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sets = cut(_sets_of(docs, k, classes.join(met, classes.hi == met.node, "left_semi").select("rep")), "sets")
     links = cut(_verified(pairs, sets, percent), "links")
     labels = components(links)
-    more = cut(_unresolved(members, labels, classes), "more")
-    if not more.isEmpty():
-        found = cut(_verified(more, sets, percent), "links")
-        if not found.isEmpty():
-            labels = components(links.union(found))
+    found = cut(_unresolved(pairs, labels, classes, sets, percent), "links")
+    if not found.isEmpty():
+        labels = components(links.union(found))
     named = classes.join(labels.withColumnRenamed("node", "hi"), "hi", "left").select("hi", "lo", "rep", F.coalesce("root", "hi").alias("root"))
     named = cut(named, "named")
     least = cut(named.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
