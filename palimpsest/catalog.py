@@ -14,7 +14,7 @@ from .operators import cache, chunking, diff, history, merge, overlay, reach, re
 from .plans import versions as V
 from .plans.repository import Repository
 from .plans.versions import hashed, table
-from .session import shared_dir
+from .session import cut, shared_dir
 from .streaming import sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -275,19 +275,17 @@ def retention(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- reachability, garbage, integrity
 
 
-def _graph(spark: SparkSession, sf: str) -> DataFrame:
+def _versions(spark: SparkSession, sf: str) -> DataFrame:
     parts = [V.entries(spark, sf, v).withColumn("version", F.lit(v)) for v in ("base", "ours", "theirs")]
-    e = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    commits = e.where("path = ''").select("version", S.object_id("commit", F.concat("version", F.col("content_id"))).alias("commit"), F.col("content_id").alias("root"))
-    return reach.edges(commits, e)
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def _roots(spark: SparkSession, sf: str, *names: str) -> DataFrame:
-    out = None
-    for v in names:
-        r = V.entries(spark, sf, v).where("path = ''").select(S.object_id("commit", F.concat(F.lit(v), F.col("content_id"))).alias("id"))
-        out = r if out is None else out.unionByName(r)
-    return out
+def _commits(e: DataFrame) -> DataFrame:
+    return e.where("path = ''").select("version", S.object_id("commit", F.concat("version", F.col("content_id"))).alias("commit"), F.col("content_id").alias("root"))
+
+
+def _roots(e: DataFrame) -> DataFrame:
+    return _commits(e).where("version <> 'theirs'").select(F.col("commit").alias("id"))
 
 
 _GRAPH = f"""{V.with_entries("base", "ours", "theirs")},
@@ -300,12 +298,13 @@ _GRAPH = f"""{V.with_entries("base", "ours", "theirs")},
 
 @query("q16_edges", f"{_GRAPH} SELECT src, dst, kind FROM edges")
 def edges(spark: SparkSession, sf: str) -> DataFrame:
-    return _graph(spark, sf)
+    e = _versions(spark, sf)
+    return reach.edges(_commits(e), e)
 
 
 @query("q16_mark", f"{_GRAPH} SELECT id FROM live")
 def mark(spark: SparkSession, sf: str) -> DataFrame:
-    return reach.mark(_roots(spark, sf, "base", "ours"), _graph(spark, sf).checkpoint() if spark.sparkContext.getCheckpointDir() else _graph(spark, sf))
+    return _live(spark, sf)[1]
 
 
 @query(
@@ -324,9 +323,10 @@ def gc_roots(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _live(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    g = _graph(spark, sf)
+    e = _versions(spark, sf)
+    g = cut(reach.edges(_commits(e), e), "edges")
     stored = g.select(F.col("dst").alias("id")).union(g.select("src")).distinct()
-    return stored, reach.mark(_roots(spark, sf, "base", "ours"), g)
+    return stored, reach.mark(_roots(e), g)
 
 
 _STORED = f"{_GRAPH}, stored AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges)"

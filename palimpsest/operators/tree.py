@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
+BUCKET = 3
 COLUMNS = ("path", "kind", "mode", "mtime_ns", "size", "content_id", "file_id")
 
 
@@ -25,10 +26,23 @@ def file_entries(files: DataFrame) -> DataFrame:
     )
 
 
+def tree_ids(children: DataFrame) -> DataFrame:
+    """(path, content_id) of the directories of children: a hash of their sorted entries.
+
+    Entries are dealt by the first BUCKET hex digits of their names' MD5; buckets are hashed, then their hashes in order.
+    A directory of any size is so hashed by many tasks, and at most 16**BUCKET hashes meet in one.
+    """
+    bucket = F.substring(F.md5(S.name(F.col("path")).cast("binary")), 1, BUCKET)
+    part = F.sha2(F.array_join(F.array_sort(F.collect_list(encoded())), "\n"), 256)
+    parts = children.groupBy(S.parent(F.col("path")).alias("up"), bucket.alias("bucket")).agg(part.alias("part"))
+    whole = F.array_join(F.array_sort(F.collect_list(F.concat("bucket", F.lit(" "), "part"))), "\n")
+    return parts.groupBy(F.col("up").alias("path")).agg(S.object_id("tree", whole).alias("content_id"))
+
+
 def build(entries: DataFrame, dir_mode: int = 0o755) -> DataFrame:
-    """entries and the directories above them, whose content_id is the tree id: a hash of their sorted entries.
+    """entries and the directories above them, whose content_id is the tree id.
 
-    One aggregate for each level, from the deepest up; a level's rows are only what is below its directories.
+    One step for each level, from the deepest up; a level's rows are only what is below its directories.
     """
     levels = entries.agg(F.max(S.depth(F.col("path")))).first()[0] or 0
     built = [entries.select(*COLUMNS)]
@@ -36,8 +50,7 @@ def build(entries: DataFrame, dir_mode: int = 0o755) -> DataFrame:
     for level in range(levels, 0, -1):
         at = entries.where(S.depth(F.col("path")) == level).select(*COLUMNS)
         at = at if above is None else at.unionByName(above)
-        tree = F.array_join(F.array_sort(F.collect_list(encoded())), "\n")
-        above = at.groupBy(S.parent(F.col("path")).alias("path")).agg(S.object_id("tree", tree).alias("content_id")).select(
+        above = tree_ids(at).select(
             "path", F.lit("dir").alias("kind"), F.lit(dir_mode).alias("mode"), F.lit(0).cast("long").alias("mtime_ns"), F.lit(0).cast("long").alias("size"), "content_id", S.file_id(F.col("path")).alias("file_id"),
         )
         built.append(above)

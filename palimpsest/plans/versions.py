@@ -65,8 +65,9 @@ def entries_sql(version: str, name: str) -> str:
     up = "regexp_replace(path, '(^|/)[^/]*$', '')"
 
     def dirs(source: str) -> str:
-        return f"""SELECT {up} AS path, 'dir' AS kind, 493 AS mode, 0::BIGINT AS mtime_ns, 0::BIGINT AS size,
-            {hashed("tree", f"string_agg({enc}, chr(10) ORDER BY {enc})")} AS content_id FROM {source} GROUP BY 1"""
+        parts = f"""SELECT {up} AS up, substr(md5(string_split(path, '/')[-1]), 1, {tree.BUCKET}) AS bucket, sha256(string_agg({enc}, chr(10) ORDER BY {enc})) AS part FROM {source} GROUP BY 1, 2"""
+        return f"""SELECT up AS path, 'dir' AS kind, 493 AS mode, 0::BIGINT AS mtime_ns, 0::BIGINT AS size,
+            {hashed("tree", "string_agg(bucket || ' ' || part, chr(10) ORDER BY bucket)")} AS content_id FROM ({parts}) GROUP BY up"""
 
     n = name
     return f"""{n}_f AS (SELECT path, 'file' AS kind, mode, mtime_ns::BIGINT AS mtime_ns, strlen(content)::BIGINT AS size, {hashed("chunk", "content")} AS content_id FROM ({FILES_SQL[version]})),
