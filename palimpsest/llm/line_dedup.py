@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, cut, has_bits, log2_bits_for, seen_bits, table, texts
+from .common import arrow, cut, has_bits, log2_bits_for, portions, seen_bits, table, texts
 
 MIN_CHARS, MIN_DOCS = 40, 5
 _STRIP = b" \t\n\v\f\r"
@@ -83,20 +83,24 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     """
     gone = cut(repeats(docs, min_chars, min_docs), "repeats").select(F.col("doc_id").alias("id"), "keys")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    j = d.join(gone, d["doc_id"].eqNullSafe(gone["id"]), "left").select("doc_id", "text", "keys.hi", "keys.lo")
+    # Shuffled at every size: what is lost grows with the input, and texts meet it by id.
+    j = d.join(gone.hint("merge"), d["doc_id"].eqNullSafe(gone["id"]), "left").select("doc_id", "text", "keys.hi", "keys.lo")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lines, dropped, kept = [], [], []
-            for t, hi, lo in zip(texts(b.column(1)), b.column(2), b.column(3), strict=True):
-                x = t.split(b"\n")
-                lines.append(len(x))
-                if hi.is_valid:
-                    bad = {r.tobytes() for r in np.stack((hi.values.to_numpy(), lo.values.to_numpy()), axis=1)}
-                    x = [y for y in x if line_key(y, min_chars) not in bad]
-                dropped.append(lines[-1] - len(x))
-                kept.append(b"\n".join(x))
-            yield pa.record_batch([b.column(0), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_text"])
+            blobs = texts(b.column(1))
+            for p in portions(blobs):
+                part = b.slice(p.start, p.stop - p.start)
+                lines, dropped, kept = [], [], []
+                for t, hi, lo in zip(blobs[p], part.column(2), part.column(3), strict=True):
+                    x = t.split(b"\n")
+                    lines.append(len(x))
+                    if hi.is_valid:
+                        bad = {r.tobytes() for r in np.stack((hi.values.to_numpy(), lo.values.to_numpy()), axis=1)}
+                        x = [y for y in x if line_key(y, min_chars) not in bad]
+                    dropped.append(lines[-1] - len(x))
+                    kept.append(b"\n".join(x))
+                yield pa.record_batch([part.column(0), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_text"])
 
     return arrow(j, run, "doc_id long, n_lines long, n_dropped long, kept_text string")
 
