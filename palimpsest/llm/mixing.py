@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 #: Rows that share a bucket of a source, on average; running sums are within a bucket.
-PER_BUCKET = 20_000
+PER_BUCKET = 2_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
