@@ -349,9 +349,9 @@ def revive(spark: SparkSession, sf: str) -> DataFrame:
     return reach.revive(e, V.entries(spark, sf, "base").select(F.col("content_id").alias("id")), confirmed(spark, sf))
 
 
-@query("q17_orphan_packs", "SELECT s_suppkey AS pack FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 7)")
+@query("q17_orphan_packs", "SELECT s_suppkey AS pack FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 7 AND l_quantity >= 50)")
 def orphan_packs(spark: SparkSession, sf: str) -> DataFrame:
-    index = table(spark, sf, "lineitem").where("l_returnflag = 'R' and l_linenumber = 7").select(F.col("l_suppkey").alias("pack"))
+    index = table(spark, sf, "lineitem").where("l_returnflag = 'R' and l_linenumber = 7 and l_quantity >= 50").select(F.col("l_suppkey").alias("pack"))
     return reach.orphan_packs(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("pack")), index)
 
 

@@ -39,4 +39,4 @@ def test_oracle(spark, con, name):
     at = [names.index(c) for c in cols]
     want = [tuple(plain(x[i]) for i in at) for x in r.fetchall()]
     assert sorted(got, key=str) == sorted(want, key=str)
-    assert got
+    assert got, "a query without rows tests nothing"
