@@ -32,10 +32,11 @@ class State:
     refs: Refs = field(default_factory=Refs)
     commits: dict[str, dict] = field(default_factory=dict)
     dead: dict[str, int] = field(default_factory=dict)
+    mounts: dict[str, list] = field(default_factory=dict)
 
     def dump(self) -> str:
         r = self.refs
-        return json.dumps({"branches": {k: asdict(v) for k, v in r.branches.items()}, "snapshots": r.snapshots, "tombstones": [[n, s, t, asdict(x) if isinstance(x, Ref) else x] for n, s, t, x in r.tombstones], "commits": self.commits, "dead": self.dead})
+        return json.dumps({"branches": {k: asdict(v) for k, v in r.branches.items()}, "snapshots": r.snapshots, "tombstones": [[n, s, t, asdict(x) if isinstance(x, Ref) else x] for n, s, t, x in r.tombstones], "commits": self.commits, "dead": self.dead, "mounts": self.mounts})
 
     @classmethod
     def load(cls, number: int, text: str) -> State:
@@ -46,7 +47,7 @@ class State:
         out.refs.branches = {k: ref(v) for k, v in x["branches"].items()}
         out.refs.snapshots = x["snapshots"]
         out.refs.tombstones = [(n, s, t, ref(v) if isinstance(v, dict) else v) for n, s, t, v in x["tombstones"]]
-        out.commits, out.dead = x["commits"], x["dead"]
+        out.commits, out.dead, out.mounts = x["commits"], x["dead"], x.get("mounts", {})
         return out
 
 
@@ -180,6 +181,20 @@ class Repository:
         pieces = files.join(self._table("lists", LIST), "content_id").join(self._table("chunks", CHUNK).dropDuplicates(["chunk_id"]), "chunk_id")
         return files.select("path").join(chunking.reassemble(pieces), "path", "left").select("path", F.coalesce("data", F.lit(b"")).alias("data"))
 
+    def read(self, spec: str, offset: int, length: int) -> bytes:
+        """Bytes [offset, offset + length) of one file, from the chunks that hold them; short at the end, empty past it."""
+        commit, path = self.resolve(spec)
+        file = tree.entry_at(self.tree(self.state().commits[commit]["root"]), path).where("kind = 'file'").select("content_id")
+        pieces = file.join(self._table("lists", LIST), "content_id").select(F.col("content_id").alias("file"), "idx", F.col("offset").alias("start"), F.col("len").cast("long").alias("len"), "chunk_id")
+        wanted = file.select(F.col("content_id").alias("file"), F.lit(0).alias("request"), F.lit(offset).cast("long").alias("offset"), F.lit(length).cast("long").alias("len"))
+        parts = overlay.read(pieces, wanted, self.config["chunker"][2]).join(pieces.select("file", "idx", "chunk_id"), ["file", "idx"]).join(self._table("chunks", CHUNK).dropDuplicates(["chunk_id"]), "chunk_id")
+        rows = parts.select("idx", F.substring("data", F.col("skip").cast("int") + 1, F.col("take").cast("int")).alias("part")).orderBy("idx").collect()
+        return b"".join(bytes(r.part) for r in rows)
+
+    def deleted(self, now: int, ttl: int = 7 * 86_400) -> list[tuple[str, bool, int]]:
+        """(name, is a snapshot, seconds) of what can still be restored, newest first."""
+        return sorted(((n, s, t) for n, s, t, _ in self.state().refs.tombstones if t >= now - ttl), key=lambda x: (-x[2], x[0]))
+
     def log(self, branch: str, path: str | None = None) -> DataFrame:
         """(seq, commit, time_ns, kind, message), newest first; with a path, the entries that changed it."""
         state = self.state()
@@ -277,14 +292,25 @@ class Repository:
         self._swap(state)
         return out
 
+    def mount(self, name: str, branch: str | None, now: int) -> None:
+        """Records that a working copy `name` stands on a branch's head, which keeps that commit from collection; None
+        removes the record."""
+        state = self.state()
+        if branch is None:
+            state.mounts.pop(name, None)
+        else:
+            state.mounts[name] = [state.refs.branch(branch).head, now]
+        self._swap(state)
+
     # ------------------------------------------------------------ upkeep
 
-    def _roots(self, state: State, now: int, ttl: int) -> set[str]:
+    def _roots(self, state: State, now: int, ttl: int, mount_ttl: int) -> set[str]:
         refs = state.refs
         out = {c for r in refs.branches.values() for c in (*r.log, r.head, *r.merge_bases.values())} | set(refs.snapshots.values())
         for _, _, at, was in refs.tombstones:
             if now - at <= ttl:
                 out |= {was} if isinstance(was, str) else {*was.log, was.head, *was.merge_bases.values()}
+        out |= {commit for commit, seen in state.mounts.values() if now - seen < mount_ttl}
         return out & state.commits.keys()
 
     def _live(self, state: State, commits: set[str]) -> DataFrame:
@@ -296,7 +322,7 @@ class Repository:
             content = e if content is None else content.union(e)
         return lists.join(content.distinct(), "content_id", "left_semi").select(F.col("chunk_id").alias("id")).distinct()
 
-    def gc(self, now: int, grace: int = 86_400, ttl: int = 7 * 86_400, auto_days: int = 14, manual_days: int = 0, dry_run: bool = False) -> dict:
+    def gc(self, now: int, grace: int = 86_400, ttl: int = 7 * 86_400, auto_days: int = 14, manual_days: int = 0, mount_ttl: int = 30 * 86_400, dry_run: bool = False) -> dict:
         """Retention, then mark, then sweep of what an older run found dead too. The first run only marks."""
         state = self.state()
         day = history.DAY_NS
@@ -306,7 +332,7 @@ class Repository:
             dropped += len(r.log) - len(keep)
             state.refs.branches[name] = Ref(**asdict(r) | {"log": keep, "forked_from": r.forked_from})
         state.refs.tombstones = [t for t in state.refs.tombstones if now - t[2] <= ttl]
-        roots = self._roots(state, now, ttl)
+        roots = self._roots(state, now, ttl, mount_ttl)
         stored = self._table("chunks", CHUNK).select(F.col("chunk_id").alias("id")).distinct()
         dead = reach.dead_now(stored, self._live(state, roots))
         lists = [name for name, at in state.dead.items() if at <= now - grace]

@@ -70,6 +70,25 @@ def test_mark_then_sweep(spark, repo):
     assert contents(repo, "main") == {"a": "new " * 400}
 
 
+def test_reads_mounts_and_tombstones(spark, repo):
+    day = 86_400
+    text = "".join(f"{i:05d}" for i in range(1000))
+    first = repo.import_files(files(spark, a__b=text), "main", 0, kind="auto")
+    for at, n in ((0, 10), (63, 2000), (4990, 100), (5000, 5), (9000, 1)):
+        assert repo.read("main:a/b", at, n) == text.encode()[at : at + n]
+    repo.mount("desk", "main", 100 * day)
+    repo.import_files(files(spark, a__b="new"), "main", 1)
+    assert repo.gc(101 * day, dry_run=True)["newly_dead"] == 0
+    assert repo.gc(140 * day, dry_run=True)["newly_dead"] > 0
+    repo.mount("desk", None, 0)
+    assert repo.gc(101 * day, dry_run=True)["newly_dead"] > 0 and first in repo.state().commits
+    repo.change("fork", "main", "old", 5)
+    repo.change("delete_branch", "old", 100)
+    assert repo.deleted(200) == [("old", False, 100)] and repo.deleted(100 + 8 * day) == []
+    repo.change("undelete", "old", 300, 7 * day)
+    assert repo.branches() == ["main", "old"]
+
+
 def test_fork_is_one_row(spark, repo):
     repo.import_files(files(spark, a="a"), "main", 0)
     n = repo.state().number
