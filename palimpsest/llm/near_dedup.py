@@ -136,7 +136,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _unresolved(pairs: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join what the pivots left apart.
+    """Pairs (a, b) of roots that links join, of what the pivots left apart.
 
     Two texts of a bucket both stand in a pair with its pivot, so each pivot's texts are compared with each other, if
     they are not of one component yet. They are dealt in blocks of about BLOCK, and each pair of blocks is a group of its
@@ -146,16 +146,16 @@ def _unresolved(pairs: DataFrame, labels: DataFrame, classes: DataFrame, sets: D
     named = pairs.join(labels, F.col("a") == F.col("node"), "left").select("a", "b", F.coalesce("root", "a").alias("root"))
     several = named.groupBy("b").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("c")).where("r1 <> r2")
     several = cut(several.select("b", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "several")
-    few = cut(named.join(several, "b").select("b", F.col("a").alias("node"), "root", "blocks", F.pmod(F.hash("a"), "blocks").alias("i")), "few")
+    few = named.join(several, "b").select("b", F.col("a").alias("node"), "root", "blocks", F.pmod(F.hash("a"), "blocks").alias("i"))
     held = few.join(classes.select(F.col("hi").alias("node"), "sketch"), "node").join(sets, "node")
-    dealt = held.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("b", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "node", "root", "sketch", "elements")
+    dealt = held.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("b", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "root", "sketch", "elements")
 
     def compare(x: pd.DataFrame) -> pd.DataFrame:
         s = np.frombuffer(b"".join(x["sketch"]), np.uint8).reshape(len(x), -1)
         sets = [np.frombuffer(e, U64) for e in x["elements"]]
         n = np.array([len(e) for e in sets])
-        node, i = x["node"].to_numpy(), x["i"].to_numpy()
-        group = np.unique(x["root"].to_numpy(), return_inverse=True)[1]
+        root, i = x["root"].to_numpy(), x["i"].to_numpy()
+        group = np.unique(root, return_inverse=True)[1]
         right = np.flatnonzero(i == x["q"].iat[0])
         out = []
         for u in np.flatnonzero(i == x["p"].iat[0]):
@@ -164,7 +164,7 @@ def _unresolved(pairs: DataFrame, labels: DataFrame, classes: DataFrame, sets: D
                 if group[w] != group[u]:
                     both = len(np.intersect1d(sets[u], sets[w], assume_unique=True))
                     if 100 * both >= percent * (n[u] + n[w] - both):
-                        out.append((node[u], node[w]))
+                        out.append((root[u], root[w]))
                         group[group == group[w]] = group[u]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
@@ -186,19 +186,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = cut(classes, "classes")
     rows = classes.select(F.col("hi").alias("node"), F.explode("bands").alias("band"))
     buckets = cut(rows.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("c")).where("c > 1").select("band", "pivot"), "buckets")
-    members = cut(rows.join(buckets, "band"), "members")
-    pairs = cut(members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
-    met = members.select("node").distinct()
+    pairs = cut(rows.join(buckets, "band").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
+    met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = cut(_sets_of(docs, k, classes.join(met, classes.hi == met.node, "left_semi").select("rep")), "sets")
     links = cut(_verified(pairs, sets, percent), "links")
     labels = components(links)
     found = cut(_unresolved(pairs, labels, classes, sets, percent), "links")
-    if not found.isEmpty():
-        labels = components(links.union(found))
     named = classes.join(labels.withColumnRenamed("node", "hi"), "hi", "left").select("hi", "lo", "rep", F.coalesce("root", "hi").alias("root"))
+    if not found.isEmpty():
+        joined_roots = components(found).toDF("root", "above")
+        named = named.join(joined_roots, "root", "left").select("hi", "lo", "rep", F.coalesce("above", "root").alias("root"))
     named = cut(named, "named")
     least = cut(named.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
-    ids = cut(named.join(least, "root").select("hi", "lo", "component_id"), "ids")
+    ids = named.join(least, "root").select("hi", "lo", "component_id")
     out = sig.select("doc_id", "n", "hi", "lo").join(ids, ["hi", "lo"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
