@@ -1,4 +1,4 @@
-"""Benchmark decontamination by templates: typed placeholders for numbers, names and units, and consistent slots."""
+"""Benchmark decontamination by word windows and by templates: typed placeholders for numbers, names and units, and consistent slots."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Spans, arrow, cut, has_bits, joined, log2_bits_for, portions, runs, seen_bits, signed, table, texts, window_hashes
+from .common import U64, Spans, arrow, cut, has_bits, joined, log2_bits_for, mix, portions, runs, seen_bits, signed, table, texts, window_hashes
 
 #: Tokens of a window, those of them that must be words as they stand, and the share of an item's windows that shows it.
 WINDOW, LITERAL, SHARE = 8, 4, 0.5
@@ -24,6 +24,9 @@ _TOKEN[list(range(48, 58)) + list(range(65, 91)) + list(range(97, 123)) + list(r
 _CLOSES = np.zeros(256, bool)
 _CLOSES[list(b".!?:;\"'()[]\n")] = True
 PLACE = {"number": U64(0xA5A5A5A501), "name": U64(0xA5A5A5A502), "unit": U64(0xA5A5A5A503)}
+#: Windows of tokens as they stand and of templates; what is added to the hashes of each, so that they don't meet.
+PLAIN, TEMPLATE = 0, 1
+KIND = [U64(0x5B5B5B5B01), U64(0x5B5B5B5B02)]
 
 
 def _hash_words(words: list[str]) -> np.ndarray:
@@ -32,9 +35,10 @@ def _hash_words(words: list[str]) -> np.ndarray:
 
 
 def _lower(blob: bytes) -> bytes:
-    """In lower case, at the same length: a letter whose small form takes more or fewer bytes stays as it is."""
+    """In lower case, at the same length: a letter whose small form takes more or fewer bytes stays as it is. ß is ss, as in capitals."""
     if blob.isascii():
         return blob.lower()
+    blob = blob.replace("ß".encode(), b"ss")
     text = blob.decode("utf-8", "replace")
     low = text.lower().encode()
     if len(low) == len(blob):
@@ -70,33 +74,34 @@ def templates(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc, token, shape
 
 
-def windows(blobs: list[bytes], size: int, literal: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text, first token and hash of each window of `size` tokens (of a shorter text, all of it), tokens and typed ones.
+def windows(blobs: list[bytes], size: int, literal: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of the tokens as they stand, then of their templates: kind, then text, first token and hash of each window of
+    `size` tokens, then all tokens and which of them are slots.
 
-    A window must hold `literal` words as they stand, or all its tokens if it is shorter.
+    Tokens are in lower case, so windows of tokens do not depend on the case or the line breaks of a text, and what is
+    typed does not matter. A window of a template must hold `literal` words as they stand.
     """
     doc, token, shape = templates(blobs)
     typed = np.isin(shape, list(PLACE.values()))
-    h, at = window_hashes(shape, doc, size)
-    count = np.concatenate(([0], np.cumsum(~typed)))
-    good = count[at + size] - count[at] >= literal if len(at) else np.zeros(0, bool)
-    return doc[at[good]] if len(at) else doc[:0], at[good], h[good], token, typed
+    for kind, values, slots in ((PLAIN, token, np.zeros(len(token), bool)), (TEMPLATE, shape, typed)):
+        h, at = window_hashes(values, doc, size)
+        count = np.concatenate(([0], np.cumsum(~slots)))
+        good = count[at + size] - count[at] >= (literal if kind == TEMPLATE else 0)
+        yield kind, doc[at[good]], at[good], mix(h[good] + KIND[kind]), token, slots
 
 
-def _rows(blobs: list[bytes], ids: pa.Array, size: int, literal: int, filled: np.ndarray | None) -> pa.RecordBatch:
-    doc, at, h, token, typed = windows(blobs, size, literal)
-    if filled is not None:
-        hit = has_bits(filled, h)
-        doc, at, h = doc[hit], at[hit], h[hit]
-    first = np.full(len(blobs), np.iinfo(np.int64).max)
-    np.minimum.at(first, doc, at)
-    slots = [token[i : i + size][typed[i : i + size]].view(np.int64) for i in at]
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(s) for s in slots]))).astype(np.int32)), pa.array(np.concatenate(slots) if slots else np.zeros(0, np.int64)))
-    return pa.record_batch([ids.take(pa.array(doc)), pa.array(at - first[doc] if len(at) else at, pa.int64()), signed(h), lists], names=["id", "place", "window", "slots"])
+def _rows(blobs: list[bytes], ids: pa.Array, size: int, literal: int, filled: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    for kind, doc, at, h, token, typed in windows(blobs, size, literal):
+        if filled is not None:
+            hit = has_bits(filled, h)
+            doc, at, h = doc[hit], at[hit], h[hit]
+        slots = [token[i : i + size][typed[i : i + size]].view(np.int64) for i in at]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(s) for s in slots]))).astype(np.int32)), pa.array(np.concatenate(slots) if slots else np.zeros(0, np.int64)))
+        yield pa.record_batch([ids.take(pa.array(doc)), pa.array(np.full(len(at), kind, np.int32)), signed(h), lists], names=["id", "kind", "window", "slots"])
 
 
 def template_windows(df: DataFrame, id_col: str, size: int, literal: int, filled: np.ndarray | None = None) -> DataFrame:
-    """(id, place, window, slots) of all windows of df's texts, or of those that a bit filter lets through."""
+    """(id, kind, window, slots) of all windows of df's texts, or of those that a bit filter lets through."""
     spark = df.sparkSession
     held = None if filled is None else spark.sparkContext.broadcast(filled)
 
@@ -104,34 +109,33 @@ def template_windows(df: DataFrame, id_col: str, size: int, literal: int, filled
         for b in batches:
             blobs = texts(b.column(1))
             for p in portions(blobs):
-                yield _rows(blobs[p], b.column(0)[p.start : p.stop], size, literal, None if held is None else held.value)
+                yield from _rows(blobs[p], b.column(0)[p.start : p.stop], size, literal, None if held is None else held.value)
 
-    return arrow(df.select(F.col(id_col).cast("long"), F.col("text").cast("string")), run, "id long, place long, window long, slots array<long>")
+    return arrow(df.select(F.col(id_col).cast("long"), F.col("text").cast("string")), run, "id long, kind int, window long, slots array<long>")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, literal: int = LITERAL, share: float = SHARE) -> DataFrame:
     """(doc_id, item_id, coverage, verbatim) for each document that holds a benchmark item.
 
-    coverage is the share of the item's distinct windows found. An item is held if `share` of its windows stand in the
-    document as they are, or as templates whose slots are filled consistently: each number, name or unit of the item
-    by one value throughout. All document windows pass a bit filter of fixed size; what is left is hash-joined.
+    coverage is the share of the item's distinct windows found. An item is held if `share` of its windows of tokens
+    stand in the document, in any case and however its lines break (verbatim), or `share` of its windows of templates
+    whose slots are filled consistently: each number, name or unit of the item by one value throughout. All document
+    windows pass a bit filter of fixed size; what is left is hash-joined.
     Items with fewer tokens than a window are of no use for this and match nothing.
     """
     items = cut(template_windows(benchmark, "item_id", size, literal).where("id is not null"), "items")
-    totals = items.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("window").alias("total"))
+    totals = items.groupBy(F.col("id").alias("item_id"), "kind").agg(F.countDistinct("window").alias("total"))
     n = items.count()
     filled = seen_bits(items.select("window"), log2_bits_for(max(1, n), 16))
     hits = cut(template_windows(docs, "doc_id", size, literal, filled).where("id is not null"), "hits")
     keys = items.select(F.col("id").alias("item_id"), "window", F.col("slots").alias("was")).distinct()
-    met = cut(hits.select(F.col("id").alias("doc_id"), "window", "slots").distinct().join(keys, "window"), "met")
-    found = met.groupBy("doc_id", "item_id").agg(
-        F.countDistinct("window").alias("found"), F.countDistinct(F.when(F.col("slots") == F.col("was"), F.col("window"))).alias("same")
-    )
+    met = cut(hits.select(F.col("id").alias("doc_id"), "kind", "window", "slots").distinct().join(keys, "window"), "met")
+    found = met.groupBy("doc_id", "item_id", "kind").agg(F.countDistinct("window").alias("found"))
     filled_by = met.where(F.size("was") > 0).select("doc_id", "item_id", F.explode(F.arrays_zip("was", "slots")).alias("s")).select("doc_id", "item_id", "s.was", "s.slots").distinct()
     odd = filled_by.groupBy("doc_id", "item_id", "was").agg(F.count("*").alias("c")).groupBy("doc_id", "item_id").agg(F.max("c").alias("values"))
-    j = found.join(odd, ["doc_id", "item_id"], "left").join(totals, "item_id")
-    held = (F.col("same") >= F.col("total") * share) | (F.col("found") >= F.col("total") * share) & (F.coalesce("values", F.lit(1)) == 1)
-    return j.where(held).select("doc_id", "item_id", (F.col("found") / F.col("total")).alias("coverage"), (F.col("same") >= F.col("total") * share).alias("verbatim"))
+    j = found.join(odd, ["doc_id", "item_id"], "left").join(totals, ["item_id", "kind"])
+    held = (F.col("found") >= F.col("total") * share) & ((F.col("kind") == PLAIN) | (F.coalesce("values", F.lit(1)) == 1))
+    return j.where(held).groupBy("doc_id", "item_id").agg(F.max(F.col("found") / F.col("total")).alias("coverage"), F.bool_or(F.col("kind") == PLAIN).alias("verbatim"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **args: object) -> DataFrame:

@@ -52,3 +52,17 @@ def test_odd_rows(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert not any(r.leaked for r in D.decontaminate(documents(spark, ODD), none).collect())
     assert D.decontaminate(documents(spark, {}), bench).count() == 0
+
+
+GERMAN = "Der Lehrer fragt die Klasse, wie viele Äpfel Frau Müller auf dem Markt in der Großen Straße kauft, wenn jeder Korb fünf Äpfel und eine Birne enthält"
+
+
+def test_verbatim_in_any_case_and_wrapping(spark):
+    bench = spark.createDataFrame([(1, ITEM), (2, GERMAN)], "item_id long, text string")
+    docs = {}
+    for i, item in ((1, ITEM), (2, GERMAN)):
+        forms = [item, item.lower(), item.upper(), item.title(), item.replace(" ", "\n"), item.replace(" Ben", "\nBen").replace(" Frau", "\nFrau")]
+        docs |= {10 * i + k: f"Here it is: {f}. And so on" for k, f in enumerate(forms)}
+    got = {r.doc_id: r.item_ids for r in D.decontaminate(documents(spark, docs), bench).collect()}
+    assert got == {d: [d // 10] for d in docs}
+    assert all(r.verbatim and r.coverage == 1 for r in D.leaks(documents(spark, docs), bench).collect())
