@@ -6,13 +6,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, Spans, arrow, cut, has_bits, joined, log2_bits_for, mix, portions, runs, seen_bits, signed, table, texts, window_hashes
 
-#: Tokens of a window, those of them that must be words as they stand, and the share of an item's windows that shows it.
-WINDOW, LITERAL, SHARE = 8, 4, 0.5
+#: Tokens of a window, those of them that must be words as they stand, the share of an item that shows it, and the tokens on end
+#: that do for a long one.
+WINDOW, LITERAL, SHARE, RUN = 8, 4, 0.5, 13
 UNITS = (
     "mm cm m km inch inches foot feet yard yards mile miles g kg mg gram grams kilogram kilograms pound pounds ounce ounces ton tons "
     "ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years "
@@ -74,68 +75,130 @@ def templates(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc, token, shape
 
 
-def windows(blobs: list[bytes], size: int, literal: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of the tokens as they stand, then of their templates: kind, then text, first token and hash of each window of
-    `size` tokens, then all tokens and which of them are slots.
+def sizes_of(n: int, size: int) -> list[int]:
+    """The windows of an item of n tokens: all of a short one; under two windows, smaller ones too, so that one changed
+    word leaves some. A single token is no passage."""
+    if n <= size:
+        return [n] if n > 1 else []
+    return [size] if n >= 2 * size else [size, max(size // 2, n - size)]
+
+
+def windows(blobs: list[bytes], sizes: list[tuple[int, int]], size: int, literal: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each (kind, tokens of a window) of `sizes`: both, then all tokens' texts, tokens and which of them are slots,
+    then first token and hash of each window.
 
     Tokens are in lower case, so windows of tokens do not depend on the case or the line breaks of a text, and what is
-    typed does not matter. A window of a template must hold `literal` words as they stand.
+    typed does not matter. A window of a template must hold `literal` words as they stand, in proportion if it is
+    smaller than `size`.
     """
     doc, token, shape = templates(blobs)
     typed = np.isin(shape, list(PLACE.values()))
-    for kind, values, slots in ((PLAIN, token, np.zeros(len(token), bool)), (TEMPLATE, shape, typed)):
-        h, at = window_hashes(values, doc, size)
-        count = np.concatenate(([0], np.cumsum(~slots)))
-        good = count[at + size] - count[at] >= (literal if kind == TEMPLATE else 0)
-        yield kind, doc[at[good]], at[good], mix(h[good] + KIND[kind]), token, slots
+    count = np.concatenate(([0], np.cumsum(~typed)))
+    for kind, k in sizes:
+        h, at = window_hashes(shape if kind == TEMPLATE else token, doc, k)
+        if kind == TEMPLATE:
+            good = count[at + k] - count[at] >= -(-k * literal // size)
+            h, at = h[good], at[good]
+        yield kind, k, doc, token, typed if kind == TEMPLATE else np.zeros(len(token), bool), at, mix(h + KIND[kind] + U64(k << 8))
+
+
+def _batch(ids: pa.Array, kind: int, k: int, doc: np.ndarray, token: np.ndarray, typed: np.ndarray, at: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+    span = at[:, None] + np.arange(k)
+    which = typed[span] if len(at) else np.zeros((0, k), bool)
+    slots = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(which.sum(1)))).astype(np.int32)), signed(token[span[which]]))
+    place = at - np.searchsorted(doc, doc[at])
+    full = lambda x: pa.array(np.full(len(at), x, np.int32))
+    return pa.record_batch([ids.take(pa.array(doc[at])), full(kind), full(k), pa.array(place, pa.int64()), signed(h), slots], names=["id", "kind", "size", "place", "window", "slots"])
 
 
-def _rows(blobs: list[bytes], ids: pa.Array, size: int, literal: int, filled: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    for kind, doc, at, h, token, typed in windows(blobs, size, literal):
-        if filled is not None:
-            hit = has_bits(filled, h)
-            doc, at, h = doc[hit], at[hit], h[hit]
-        slots = [token[i : i + size][typed[i : i + size]].view(np.int64) for i in at]
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(s) for s in slots]))).astype(np.int32)), pa.array(np.concatenate(slots) if slots else np.zeros(0, np.int64)))
-        yield pa.record_batch([ids.take(pa.array(doc)), pa.array(np.full(len(at), kind, np.int32)), signed(h), lists], names=["id", "kind", "window", "slots"])
+WINDOWS = "id long, kind int, size int, place long, window long, slots array<long>"
 
 
-def template_windows(df: DataFrame, id_col: str, size: int, literal: int, filled: np.ndarray | None = None) -> DataFrame:
-    """(id, kind, window, slots) of all windows of df's texts, or of those that a bit filter lets through."""
-    spark = df.sparkSession
-    held = None if filled is None else spark.sparkContext.broadcast(filled)
+def item_windows(benchmark: DataFrame, size: int, literal: int, share: float) -> DataFrame:
+    """(id, kind, size, place, window, slots, total, need): the windows of each item, the tokens that those of a kind
+    cover, and how many must be found: all of a short item, else `share` of them and `size` at least."""
+    every = [(kind, k) for kind in (PLAIN, TEMPLATE) for k in range(2, size + 1)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             blobs = texts(b.column(1))
             for p in portions(blobs):
-                yield from _rows(blobs[p], b.column(0)[p.start : p.stop], size, literal, None if held is None else held.value)
+                held: dict[int, list] = {PLAIN: [], TEMPLATE: []}
+                for kind, k, doc, token, typed, at, h in windows(blobs[p], every, size, literal):
+                    n = np.bincount(doc, minlength=p.stop - p.start)
+                    words = np.bincount(doc, ~typed, minlength=p.stop - p.start)
+                    fits = np.array([k in sizes_of(int(x), size) for x in n], bool) & ((n > size) | (kind == PLAIN) | (words >= literal))
+                    held[kind].append((k, doc, token, typed, at[fits[doc[at]]], h[fits[doc[at]]], n))
+                for kind, parts in held.items():
+                    edge = np.zeros(len(parts[0][1]) + 1, np.int64)
+                    for k, *_, at, _, _ in parts:
+                        np.add.at(edge, at, 1)
+                        np.add.at(edge, at + k, -1)
+                    for k, doc, token, typed, at, h, n in parts:
+                        total = np.bincount(doc, np.cumsum(edge)[:-1] > 0, minlength=len(n)).astype(np.int64)
+                        need = np.where(n <= size, n, np.maximum(size, np.ceil(share * total))).astype(np.int64)
+                        r = _batch(b.column(0)[p.start : p.stop], kind, k, doc, token, typed, at, h)
+                        yield pa.record_batch([*r.columns, pa.array(total[doc[at]]), pa.array(need[doc[at]])], names=[*r.schema.names, "total", "need"])
+
+    return arrow(benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")), run, WINDOWS + ", total long, need long")
+
+
+def document_windows(docs: DataFrame, sizes: list[tuple[int, int]], size: int, literal: int, filled: np.ndarray) -> DataFrame:
+    """(id, kind, size, place, window, slots) of the windows of texts that a bit filter lets through."""
+    held = docs.sparkSession.sparkContext.broadcast(filled)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            blobs = texts(b.column(1))
+            for p in portions(blobs):
+                for kind, k, doc, token, typed, at, h in windows(blobs[p], sizes, size, literal):
+                    hit = has_bits(held.value, h)
+                    yield _batch(b.column(0)[p.start : p.stop], kind, k, doc, token, typed, at[hit], h[hit])
+
+    return arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, WINDOWS)
+
+
+def _covered(spans: Column) -> Column:
+    """struct(covered, longest): tokens within sorted spans (place, size), and those of the longest run of them."""
+
+    def step(acc: Column, x: Column) -> Column:
+        end = F.greatest(x["place"] + x["size"], acc["reach"])
+        begin = F.when(x["place"] > acc["reach"], x["place"]).otherwise(acc["begin"])
+        covered = acc["covered"] + end - F.greatest(x["place"], acc["reach"])
+        covered = F.when(end > acc["reach"], covered).otherwise(acc["covered"])
+        return F.struct(end.alias("reach"), begin.alias("begin"), covered.alias("covered"), F.greatest(acc["longest"], end - begin).alias("longest"))
 
-    return arrow(df.select(F.col(id_col).cast("long"), F.col("text").cast("string")), run, "id long, kind int, window long, slots array<long>")
+    zero = F.lit(0).cast("long")
+    return F.aggregate(spans, F.struct(*[zero.alias(c) for c in ("reach", "begin", "covered", "longest")]), step)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, literal: int = LITERAL, share: float = SHARE) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, literal: int = LITERAL, share: float = SHARE, run: int = RUN) -> DataFrame:
     """(doc_id, item_id, coverage, verbatim) for each document that holds a benchmark item.
 
-    coverage is the share of the item's distinct windows found. An item is held if `share` of its windows of tokens
-    stand in the document, in any case and however its lines break (verbatim), or `share` of its windows of templates
-    whose slots are filled consistently: each number, name or unit of the item by one value throughout. All document
-    windows pass a bit filter of fixed size; what is left is hash-joined.
-    Items with fewer tokens than a window are of no use for this and match nothing.
+    coverage is the share found of the tokens that the item's windows cover. An item is held if `share` of them
+    (`size` at least, all of an item of up to `size` tokens) or `run` of them on end stand in one place of the document,
+    in any case and however its lines break (verbatim), or as templates whose slots are filled consistently: each
+    number, name or unit of the item by one value throughout. Longer items are also held verbatim if `share` of them
+    stands anywhere in the document. All document windows pass a bit filter of fixed size; what is left is hash-joined.
+    Items of one token match nothing; short items with fewer than `literal` words have no template.
     """
-    items = cut(template_windows(benchmark, "item_id", size, literal).where("id is not null"), "items")
-    totals = items.groupBy(F.col("id").alias("item_id"), "kind").agg(F.countDistinct("window").alias("total"))
-    n = items.count()
-    filled = seen_bits(items.select("window"), log2_bits_for(max(1, n), 16))
-    hits = cut(template_windows(docs, "doc_id", size, literal, filled).where("id is not null"), "hits")
-    keys = items.select(F.col("id").alias("item_id"), "window", F.col("slots").alias("was")).distinct()
-    met = cut(hits.select(F.col("id").alias("doc_id"), "kind", "window", "slots").distinct().join(keys, "window"), "met")
-    found = met.groupBy("doc_id", "item_id", "kind").agg(F.countDistinct("window").alias("found"))
+    items = cut(item_windows(benchmark, size, literal, share).where("id is not null"), "items")
+    sizes = [(r["kind"], r["size"]) for r in items.select("kind", "size").distinct().orderBy("kind", "size").collect()]
+    filled = seen_bits(items.select("window"), log2_bits_for(max(1, items.count()), 16))
+    hits = cut(document_windows(docs, sizes, size, literal, filled).where("id is not null"), "hits")
+    keys = items.select(F.col("id").alias("item_id"), "window", F.col("slots").alias("was"), F.col("place").alias("stood"), "total", "need")
+    met = hits.select(F.col("id").alias("doc_id"), "kind", "size", "place", "window", "slots").join(keys, "window")
+    met = cut(met.select("doc_id", "item_id", "kind", "size", (F.col("place") - F.col("stood")).alias("shift"), F.col("stood").alias("place"), "slots", "was", "total", "need"), "met")
+    spans = F.array_sort(F.collect_set(F.struct("place", "size"))).alias("spans")
+    most = [F.max(c).alias(c) for c in ("total", "need")]
     filled_by = met.where(F.size("was") > 0).select("doc_id", "item_id", F.explode(F.arrays_zip("was", "slots")).alias("s")).select("doc_id", "item_id", "s.was", "s.slots").distinct()
     odd = filled_by.groupBy("doc_id", "item_id", "was").agg(F.count("*").alias("c")).groupBy("doc_id", "item_id").agg(F.max("c").alias("values"))
-    j = found.join(odd, ["doc_id", "item_id"], "left").join(totals, ["item_id", "kind"])
-    held = (F.col("found") >= F.col("total") * share) & ((F.col("kind") == PLAIN) | (F.coalesce("values", F.lit(1)) == 1))
-    return j.where(held).groupBy("doc_id", "item_id").agg(F.max(F.col("found") / F.col("total")).alias("coverage"), F.bool_or(F.col("kind") == PLAIN).alias("verbatim"))
+    placed = met.groupBy("doc_id", "item_id", "kind", "shift").agg(spans, *most).join(odd, ["doc_id", "item_id"], "left")
+    placed = placed.where((F.col("kind") == PLAIN) | (F.coalesce("values", F.lit(1)) == 1)).drop("shift", "values")
+    pooled = met.where((F.col("size") == size) & (F.col("total") >= 2 * size) & (F.col("kind") == PLAIN)).groupBy("doc_id", "item_id", "kind").agg(spans, *most)
+    found = placed.withColumn("c", _covered("spans")).withColumn("longest", F.col("c.longest")).unionByName(pooled.withColumn("c", _covered("spans")).withColumn("longest", F.lit(0).cast("long")))
+    held = (F.col("c.covered") >= F.col("need")) | (F.col("longest") >= run)
+    return found.where(held).groupBy("doc_id", "item_id").agg(F.max(F.col("c.covered") / F.col("total")).alias("coverage"), F.bool_or(F.col("kind") == PLAIN).alias("verbatim"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **args: object) -> DataFrame:

@@ -66,3 +66,16 @@ def test_verbatim_in_any_case_and_wrapping(spark):
     got = {r.doc_id: r.item_ids for r in D.decontaminate(documents(spark, docs), bench).collect()}
     assert got == {d: [d // 10] for d in docs}
     assert all(r.verbatim and r.coverage == 1 for r in D.leaks(documents(spark, docs), bench).collect())
+
+
+def test_short_dense_and_partly_quoted_items(spark):
+    rng = random.Random(9)
+    words = [f"w{i}x" for i in range(100)]
+    long = " ".join(words)
+    fifteen = "the old mill by the slow river grinds wheat for every farm in our valley"
+    items = {1: "What is the capital of France?", 2: "12 + 7 = 19, 13 + 8 = 21, 14 + 9 = 23", 3: "The Art Of The Deal And Other Long Stories", 4: long, 5: fifteen, 6: "She has 3 apples and 2 pears"}
+    docs = {10 * i: f"{prose(rng, 30)}. {t}. {prose(rng, 30)}" for i, t in items.items()}
+    docs |= {41: prose(rng, 30) + " " + " ".join(words[20:50]), 42: " ".join(words[:6] + ["and"] + words[50:56]), 51: fifteen.replace("grinds", "crushes"), 61: "she has 8 apples and 9 pears", 11: "What is the capital of a country?"}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {r.doc_id: r.item_ids for r in D.decontaminate(documents(spark, docs), bench).collect()}
+    assert got == {d: [d // 10] if d not in (11, 42) else [] for d in docs}
