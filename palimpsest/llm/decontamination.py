@@ -178,7 +178,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, literal: in
     coverage is the share found of the tokens that the item's windows cover. An item is held if `share` of them
     (`size` at least, all of an item of up to `size` tokens) or `run` of them on end stand in one place of the document,
     in any case and however its lines break (verbatim), or as templates whose slots are filled consistently: each
-    number, name or unit of the item by one value throughout. Longer items are also held verbatim if `share` of them
+    number, name or unit of the item by one value in that place. Longer items are also held verbatim if `share` of them
     stands anywhere in the document. All document windows pass a bit filter of fixed size; what is left is hash-joined.
     Items of one token match nothing; short items with fewer than `literal` words have no template.
     """
@@ -191,10 +191,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, literal: in
     met = cut(met.select("doc_id", "item_id", "kind", "size", (F.col("place") - F.col("stood")).alias("shift"), F.col("stood").alias("place"), "slots", "was", "total", "need"), "met")
     spans = F.array_sort(F.collect_set(F.struct("place", "size"))).alias("spans")
     most = [F.max(c).alias(c) for c in ("total", "need")]
-    filled_by = met.where(F.size("was") > 0).select("doc_id", "item_id", F.explode(F.arrays_zip("was", "slots")).alias("s")).select("doc_id", "item_id", "s.was", "s.slots").distinct()
-    odd = filled_by.groupBy("doc_id", "item_id", "was").agg(F.count("*").alias("c")).groupBy("doc_id", "item_id").agg(F.max("c").alias("values"))
-    placed = met.groupBy("doc_id", "item_id", "kind", "shift").agg(spans, *most).join(odd, ["doc_id", "item_id"], "left")
-    placed = placed.where((F.col("kind") == PLAIN) | (F.coalesce("values", F.lit(1)) == 1)).drop("shift", "values")
+    pairs = F.zip_with("was", "slots", lambda a, b: F.xxhash64(a, b))
+    slots = [F.array_distinct(F.flatten(F.collect_set(x))).alias(c) for c, x in (("asked", F.col("was")), ("pairs", pairs))]
+    placed = met.groupBy("doc_id", "item_id", "kind", "shift").agg(spans, *most, *slots)
+    placed = placed.where(F.size("asked") == F.size("pairs")).drop("shift", "asked", "pairs")
     pooled = met.where((F.col("size") == size) & (F.col("total") >= 2 * size) & (F.col("kind") == PLAIN)).groupBy("doc_id", "item_id", "kind").agg(spans, *most)
     found = placed.withColumn("c", _covered("spans")).withColumn("longest", F.col("c.longest")).unionByName(pooled.withColumn("c", _covered("spans")).withColumn("longest", F.lit(0).cast("long")))
     held = (F.col("c.covered") >= F.col("need")) | (F.col("longest") >= run)

@@ -79,3 +79,13 @@ def test_short_dense_and_partly_quoted_items(spark):
     bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
     got = {r.doc_id: r.item_ids for r in D.decontaminate(documents(spark, docs), bench).collect()}
     assert got == {d: [d // 10] if d not in (11, 42) else [] for d in docs}
+
+
+def test_slots_agree_in_each_place(spark):
+    row = "Anna has 3 apples and Ben has 5 apples and Carl has 7 apples and Dora has 9 apples in the same basket"
+    perfect = row.replace("Ben", "Tom").replace("Carl", "Max").replace("Dora", "Eva").replace("3", "4").replace("5", "6").replace("7", "8").replace("9", "11")
+    other = AGAIN.replace("40", "55").replace("7 dollars", "8 dollars").replace("Maria Lopez", "Clara Diaz")
+    docs = {10: AGAIN + ". " + other + ".", 11: AGAIN + ". Then Eva Stone " + other[12:60] + " and left", 20: perfect, 21: "Zoe said: " + perfect + ". " + perfect.replace("4", "14")}
+    bench = spark.createDataFrame([(1, ITEM), (2, row)], "item_id long, text string")
+    found = D.leaks(documents(spark, docs), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(d, d // 10) for d in docs} and not any(r.verbatim for r in found)
