@@ -11,7 +11,7 @@ from .common import ascii_lower, table
 WORD, RAW_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 PHRASES = [("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")]
 
-#: Licenses as they are written in words: label, keyword that a text must contain, name, versions.
+#: Licenses as they are written in words: label, keyword of the names that contain it (others have their own), names, versions.
 FAMILIES = [
     ("agpl", "affero", "gnu affero general public license|affero general public license", "1 0|3 0|3"),
     ("lgpl", "lesser", "gnu lesser general public license|gnu library or lesser general public license", "2 0|2 1|3 0|2|3"),
@@ -75,27 +75,64 @@ FAMILIES = [
 TAGS = "agpl|lgpl|gpl|gfdl|apache|mit|x11|bsd|isc|mpl|epl|cddl|cpl|eupl|artistic|bsl|zlib|unlicense|wtfpl|psf|postgresql|openssl|ofl|odbl|ncsa|php|ruby|vim|w3c|upl|osl|afl|sspl|busl|elastic|cc0|cc by".split("|")
 
 
+#: Licenses as they are named in short: label, name, whether it tells by itself if a version follows.
+SHORT = [
+    ("agpl", "agpl", True), ("lgpl", "lgpl", True), ("gpl", "gpl", True), ("gfdl", "gfdl", True), ("apache", "apache", True), ("mpl", "mpl", True),
+    ("epl", "epl", True), ("eupl", "eupl", True), ("cddl", "cddl", True), ("mit", "mit", False), ("x11", "x11", False), ("bsd", "bsd", False),
+    ("bsd-2-clause", "bsd 2 clause", False), ("bsd-3-clause", "bsd 3 clause", False), ("bsd-4-clause", "bsd 4 clause", False), ("isc", "isc", False),
+    ("zlib", "zlib", False), ("wtfpl", "wtfpl", False), ("ofl", "ofl", False), ("odbl", "odbl", False), ("sspl", "sspl", False), ("unlicense", "unlicense", False),
+    ("postgresql", "postgresql", False), ("cecill", "cecill", False), ("osl", "osl", False), ("afl", "afl", False), ("upl", "upl", False),
+]
+#: Sentences of license bodies.
+BODIES = [
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted"),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("zlib", "in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "you just do what the fuck you want to"),
+    ("apache", "you may not use this file except in compliance with the license"),
+]
+GRANT = "(?:licensed|released|distributed|available|published|made available|provided)(?: to you)? under (?:the )?(?:terms of the )?"
+
+
 def rules() -> list[tuple[str, str, str, int, float]]:
     """(label, keyword, regex over spaced words, priority, confidence), most trusted first: tags, grants, names with a
-    version, names."""
+    version, names. A text that the regex fits contains the keyword: names without their family's have rules of their own."""
     out = []
     for tag in TAGS:
         out.append((tag.replace(" ", "-"), f"identifier {tag}", f" spdx license identifier {tag}(?: [0-9]+)*(?: (?:only|or later))?(?= )", 0, 0.99))
-    for label, keyword, names, versions in FAMILIES:
-        forms = [f" (?:licensed|released|distributed|available|published|made available|provided)(?: to you)? under (?:the )?(?:terms of the )?(?:{names})(?: licen[sc]e)?"]
-        if versions:
-            forms.append(f" (?:{names})(?: international| unported| licen[sc]e)?(?: version| v)? (?:{versions})(?: (?:or|and) (?:any )?later(?: versions?)?)?")
-            out.append((label, keyword, forms[0] + f"(?: version| v)? (?:{versions})(?= )", 1, 0.97))
-        out.append((label, keyword, forms[0] + "(?= )", 2, 0.95))
-        if versions:
-            out.append((label, keyword, forms[1] + "(?= )", 3, 0.9))
-        out.append((label, keyword, f" (?:{names})(?= )", 4, 0.7))
-        out.append((label, keyword, f" see (?:the )?(?:file )?(?:license|licence|copying)(?: file)? for (?:the )?(?:{names})(?= )", 2, 0.8))
+    for label, family, all_names, versions in FAMILIES:
+        split = all_names.split("|")
+        having = [n for n in split if family in n]
+        for keyword, names in ([(family, "|".join(having))] if having else []) + [(n, n) for n in split if family not in n]:
+            forms = [f" {GRANT}(?:{names})(?: licen[sc]e)?"]
+            if versions:
+                forms.append(f" (?:{names})(?: international| unported| licen[sc]e)?(?: version| v)? (?:{versions})(?: (?:or|and) (?:any )?later(?: versions?)?)?")
+                out.append((label, keyword, forms[0] + f"(?: version| v)? (?:{versions})(?= )", 1, 0.97))
+            out.append((label, keyword, forms[0] + "(?= )", 2, 0.95))
+            if versions:
+                out.append((label, keyword, forms[1] + "(?= )", 3, 0.9))
+            out.append((label, keyword, f" (?:{names})(?= )", 4, 0.7))
+            out.append((label, keyword, f" see (?:the )?(?:file )?(?:license|licence|copying)(?: file)? for (?:the )?(?:{names})(?= )", 2, 0.8))
+    version = "(?: ?v(?:ersion)?)? ?[0-9]+(?: [0-9]+)?"
+    for label, name, alone in SHORT:
+        out.append((label, f" {name}", f" {GRANT}(?:gnu )?{name}(?:{version})?(?: (?:only|or (?:any )?later))?(?! compatible)(?= )", 2, 0.9))
+        if alone:
+            out.append((label, f" {name}", f" (?:gnu )?{name}{version}(?: (?:only|or (?:any )?later))?(?= )", 4, 0.6))
+    for label, body in BODIES:
+        out.append((label, body, f" {body}(?= )", 1, 0.95))
     return out
 
 
 #: What a text that any rule or phrase fits must contain, whatever stands between words.
-GATE = r"(?i)licen[sc]|all[^a-z0-9]+rights|public[^a-z0-9]+domain|creative[^a-z0-9]+commons|cc0|cc[^a-z0-9]+by"
+_BETWEEN = "[^a-z0-9]+"
+GATE = r"(?i)licen[sc]|all[^a-z0-9]+rights|public[^a-z0-9]+domain|creative[^a-z0-9]+commons|cc0|cc[^a-z0-9]+by" + "".join(
+    "|" + _BETWEEN.join(p.split()) for p in ["released under", "distributed under", "available under", "published under", "provided under", "to you under"] + sorted({" ".join(b.split()[:4]) for _, b in BODIES})
+) + r"|gpl|gfdl|(?:apache|mpl|epl|eupl|cddl)(?:[^a-z0-9]*v(?:ersion)?)?[^a-z0-9]*[0-9]"
 
 
 def _spans(norm: Column, rule: Column) -> Column:

@@ -50,3 +50,26 @@ def test_odd_rows(spark):
     long = documents(spark, {1: "see the MIT License now. " * 3000})
     assert L.scan(long).first().n_base == 3000
     assert L.scan(documents(spark, {})).count() == 0
+
+
+def test_keywords_stand_in_every_alternative():
+    for label, family, names, _ in L.FAMILIES:
+        for n in names.split("|"):
+            text = " " + re.sub(r"\(\?:(\w+)\)\?", r"\1", n).replace(" ?", " ").replace("s?", "s") + " "
+            fits = [r for r in L.rules() if r[0] == label and re.search(r[2], text)]
+            assert fits and all(r[1] in text for r in fits) and re.search(L.GATE, text.upper()), text
+    for label, body in L.BODIES:
+        text = " " + body + " "
+        assert any(r[0] == label and r[1] in text and re.search(r[2], text) for r in L.rules()) and re.search(L.GATE, body.replace(" ", "\n# "))
+
+
+def test_other_names_short_names_and_bodies(spark):
+    texts = {
+        1: "Under the GNU Public License.", 2: "the Expat License", 3: "Berkeley Software Distribution License", 4: "Internet Systems Consortium License",
+        5: "Released under GPLv3.", 6: "Licensed under Apache 2.0", 7: "Distributed under the MIT.", 8: "GNU AGPL v3 or later", 9: "available under BSD-3-Clause",
+        10: "Permission is hereby granted, free of charge, to any person\n# obtaining a copy of this software and associated documentation files (the \"Software\")",
+        11: "Redistribution and use in source and binary forms, with or without modification, are permitted", 12: "Available under many names, he met a gpl fan at MIT.",
+        13: "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", 14: "LGPL-2.1+", 15: "MPL-2.0",
+    }
+    got = {r.doc_id: r.labels for r in L.scan(documents(spark, texts)).collect()}
+    assert got == {1: "gpl", 2: "mit", 3: "bsd", 4: "isc", 5: "gpl", 6: "apache", 7: "mit", 8: "agpl", 9: "bsd-3-clause", 10: "mit", 11: "bsd", 12: "", 13: "isc", 14: "lgpl", 15: "mpl"}
