@@ -14,16 +14,29 @@ from .common import U64, Spans, arrow, cut, has_bits, joined, log2_bits_for, mix
 #: Tokens of a window, those of them that must be words as they stand, the share of an item that shows it, and the tokens on end
 #: that do for a long one.
 WINDOW, LITERAL, SHARE, RUN = 8, 4, 0.5, 13
+#: Words of units and of numbers, in English, French, German and Spanish.
 UNITS = (
     "mm cm m km inch inches foot feet yard yards mile miles g kg mg gram grams kilogram kilograms pound pounds ounce ounces ton tons "
     "ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years "
-    "dollar dollars cent cents euro euros percent degrees celsius fahrenheit watt watts volt volts joule joules meter meters metre metres kmh mph"
+    "dollar dollars cent cents euro euros percent degrees celsius fahrenheit watt watts volt volts joule joules meter meters metre metres kmh mph "
+    "mètre mètres kilomètre kilomètres gramme grammes kilo kilos tonne tonnes seconde secondes heure heures jour jours semaine semaines mois an ans année années centime centimes pourcent degrés "
+    "kilometer zentimeter gramm kilogramm tonne tonnen sekunde sekunden minuten stunde stunden tag tage tagen woche wochen monat monate monaten jahr jahre jahren prozent grad "
+    "metro metros kilómetro kilómetros gramo gramos kilogramo kilogramos tonelada toneladas litro litros segundo segundos minuto minutos hora horas día días semana semanas mes meses año años dólar dólares céntimo céntimos grados"
+).split()
+NUMBERS = (
+    "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million "
+    "deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante cent mille "
+    "zwei drei vier fünf sechs sieben acht neun zehn elf zwölf zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend "
+    "dos tres cuatro cinco seis siete ocho nueve diez once doce quince veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien mil"
 ).split()
-NUMBERS = "one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split()
 _TOKEN = np.zeros(256, bool)
 _TOKEN[list(range(48, 58)) + list(range(65, 91)) + list(range(97, 123)) + list(range(128, 256))] = True
 _CLOSES = np.zeros(256, bool)
 _CLOSES[list(b".!?:;\"'()[]\n")] = True
+#: What may stand between the parts of one number, and of one name.
+_IN_NUMBER, _IN_NAME = np.zeros(256, bool), np.zeros(256, bool)
+_IN_NUMBER[list(b" \n.,'-")] = True
+_IN_NAME[list(b" \n-")] = True
 PLACE = {"number": U64(0xA5A5A5A501), "name": U64(0xA5A5A5A502), "unit": U64(0xA5A5A5A503)}
 #: Windows of tokens as they stand and of templates; what is added to the hashes of each, so that they don't meet.
 PLAIN, TEMPLATE = 0, 1
@@ -48,31 +61,48 @@ def _lower(blob: bytes) -> bytes:
     return low if len(low) == len(blob) else blob.lower()
 
 
-def templates(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all tokens: the text, the token's hash, and the template's (the hash, or a placeholder).
+Stream = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def streams(blobs: list[bytes]) -> dict[int, Stream]:
+    """Of all texts, as tokens and as templates: the text, the hash, the value and whether it is a slot, of each element.
 
     A token is a run of letters and digits, in lower case. A number begins with a digit or is a number word; a unit is
-    one of UNITS after a number; a name has a capital, then a small letter, and does not begin a sentence.
+    one of UNITS after a number; a name has a capital, then a small letter, and does not begin a sentence, or does so
+    before another part of the name. In a template, numbers that one mark or space joins (3.5, 1,200, twenty-five) are
+    one slot, as are the parts of a name; the value of a slot depends on all its tokens, not on what joins them.
     """
     raw, begin = joined(blobs)
     low = joined([_lower(b) for b in blobs])[0]
     start, end = runs(_TOKEN[raw])
     doc = np.searchsorted(begin, start, side="right") - 1
     token = Spans(low).hash(start, end)
-    shape = token.copy()
+    plain = (doc, token, token, np.zeros(len(token), bool))
     if not len(start):
-        return doc, token, shape
-    head = raw[start]
-    number = (head >= 48) & (head <= 57) | np.isin(token, _hash_words(NUMBERS))
+        return {PLAIN: plain, TEMPLATE: plain}
+    number = (raw[start] >= 48) & (raw[start] <= 57) | np.isin(token, _hash_words(NUMBERS))
+    before = np.concatenate(([0], end[:-1]))
     same = np.concatenate(([False], doc[1:] == doc[:-1]))
-    unit = same & np.concatenate(([False], number[:-1])) & np.isin(token, _hash_words(UNITS))
+    unit = ~number & same & np.concatenate(([False], number[:-1])) & np.isin(token, _hash_words(UNITS))
     closing = np.concatenate(([0], np.cumsum(_CLOSES[raw])))
-    inside = same & (closing[start] == closing[np.concatenate(([0], end[:-1]))])
-    small = (end - start > 1) & (raw[np.minimum(start + 1, len(raw) - 1)] >= 97) & (raw[np.minimum(start + 1, len(raw) - 1)] <= 122)
-    name = inside & (head >= 65) & (head <= 90) & small
-    for kind, which in (("name", name), ("unit", unit), ("number", number)):
-        shape[which] = PLACE[kind]
-    return doc, token, shape
+    inside = same & (closing[start] == closing[before])
+    # A first letter of one or two bytes that has a small form, then a letter that has none.
+    wide = (raw[start] >= 128).astype(np.int64)
+    second = np.minimum(start + 1 + wide, len(raw) - 1)
+    capital = ((low[start] != raw[start]) | (low[start + wide] != raw[start + wide])) & (end - start > 1 + wide)
+    capital &= (low[second] == raw[second]) & ((raw[second] >= 97) & (raw[second] <= 122) | (raw[second] >= 128))
+    name = inside & capital
+    near = same & (start - before == 1)
+    in_name, in_number = near & _IN_NAME[raw[before]], near & _IN_NUMBER[raw[before]]
+    name[:-1] |= capital[:-1] & name[1:] & in_name[1:]
+    kind = np.where(number, 1, np.where(unit, 2, np.where(name, 3, 0)))
+    glued = np.concatenate(([False], kind[1:] == kind[:-1])) & ((kind == 1) & in_number | (kind == 3) & in_name)
+    first = np.flatnonzero(~glued)
+    part = (np.arange(len(kind)) - first[np.cumsum(~glued) - 1]).astype(U64)
+    value = np.add.reduceat(mix(token ^ mix(part)), first)
+    slot = kind[first] > 0
+    shape = np.array([0, PLACE["number"], PLACE["unit"], PLACE["name"]], U64)[kind[first]]
+    return {PLAIN: plain, TEMPLATE: (doc[first], np.where(slot, shape, token[first]), np.where(slot, value, token[first]), slot)}
 
 
 def sizes_of(n: int, size: int) -> list[int]:
@@ -83,35 +113,41 @@ def sizes_of(n: int, size: int) -> list[int]:
     return [size] if n >= 2 * size else [size, max(size // 2, n - size)]
 
 
-def windows(blobs: list[bytes], sizes: list[tuple[int, int]], size: int, literal: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each (kind, tokens of a window) of `sizes`: both, then all tokens' texts, tokens and which of them are slots,
-    then first token and hash of each window.
+def windows(blobs: list[bytes], sizes: list[tuple[int, int]], size: int, literal: int) -> Iterator[tuple[int, int, Stream, np.ndarray, np.ndarray]]:
+    """For each (kind, elements of a window) of `sizes`: both, the stream, then first element and hash of each window.
 
     Tokens are in lower case, so windows of tokens do not depend on the case or the line breaks of a text, and what is
     typed does not matter. A window of a template must hold `literal` words as they stand, in proportion if it is
     smaller than `size`.
     """
-    doc, token, shape = templates(blobs)
-    typed = np.isin(shape, list(PLACE.values()))
-    count = np.concatenate(([0], np.cumsum(~typed)))
+    both = streams(blobs)
+    count = np.concatenate(([0], np.cumsum(~both[TEMPLATE][3])))
     for kind, k in sizes:
-        h, at = window_hashes(shape if kind == TEMPLATE else token, doc, k)
+        h, at = window_hashes(both[kind][1], both[kind][0], k)
         if kind == TEMPLATE:
             good = count[at + k] - count[at] >= -(-k * literal // size)
             h, at = h[good], at[good]
-        yield kind, k, doc, token, typed if kind == TEMPLATE else np.zeros(len(token), bool), at, mix(h + KIND[kind] + U64(k << 8))
+        yield kind, k, both[kind], at, mix(h + KIND[kind] + U64(k << 8))
 
 
-def _batch(ids: pa.Array, kind: int, k: int, doc: np.ndarray, token: np.ndarray, typed: np.ndarray, at: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+def _batch(ids: pa.Array, kind: int, k: int, stream: Stream, at: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+    doc, _, value, typed = stream
     span = at[:, None] + np.arange(k)
     which = typed[span] if len(at) else np.zeros((0, k), bool)
-    slots = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(which.sum(1)))).astype(np.int32)), signed(token[span[which]]))
+    slots = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(which.sum(1)))).astype(np.int32)), signed(value[span[which]]))
     place = at - np.searchsorted(doc, doc[at])
     full = lambda x: pa.array(np.full(len(at), x, np.int32))
     return pa.record_batch([ids.take(pa.array(doc[at])), full(kind), full(k), pa.array(place, pa.int64()), signed(h), slots], names=["id", "kind", "size", "place", "window", "slots"])
 
 
-WINDOWS = "id long, kind int, size int, place long, window long, slots array<long>"
+def _keyed(df: DataFrame, name: str) -> DataFrame:
+    """df(name, text) with key: tells rows apart by id and text, so that rows without an id, or with one of several texts,
+    are judged on their own. Rows that agree in both are one."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return df.withColumn("__key", F.concat(F.coalesce(F.col(name).cast("long").cast("string"), F.lit("")), F.lit("-"), F.md5(text.cast("binary"))))
+
+
+WINDOWS = "id string, kind int, size int, place long, window long, slots array<long>"
 
 
 def item_windows(benchmark: DataFrame, size: int, literal: int, share: float) -> DataFrame:
@@ -124,23 +160,25 @@ def item_windows(benchmark: DataFrame, size: int, literal: int, share: float) ->
             blobs = texts(b.column(1))
             for p in portions(blobs):
                 held: dict[int, list] = {PLAIN: [], TEMPLATE: []}
-                for kind, k, doc, token, typed, at, h in windows(blobs[p], every, size, literal):
+                for kind, k, stream, at, h in windows(blobs[p], every, size, literal):
+                    doc, _, _, typed = stream
                     n = np.bincount(doc, minlength=p.stop - p.start)
                     words = np.bincount(doc, ~typed, minlength=p.stop - p.start)
                     fits = np.array([k in sizes_of(int(x), size) for x in n], bool) & ((n > size) | (kind == PLAIN) | (words >= literal))
-                    held[kind].append((k, doc, token, typed, at[fits[doc[at]]], h[fits[doc[at]]], n))
+                    held[kind].append((k, stream, at[fits[doc[at]]], h[fits[doc[at]]], n))
                 for kind, parts in held.items():
-                    edge = np.zeros(len(parts[0][1]) + 1, np.int64)
-                    for k, *_, at, _, _ in parts:
+                    edge = np.zeros(len(parts[0][1][0]) + 1, np.int64)
+                    for k, _, at, _, _ in parts:
                         np.add.at(edge, at, 1)
                         np.add.at(edge, at + k, -1)
-                    for k, doc, token, typed, at, h, n in parts:
+                    for k, stream, at, h, n in parts:
+                        doc = stream[0]
                         total = np.bincount(doc, np.cumsum(edge)[:-1] > 0, minlength=len(n)).astype(np.int64)
                         need = np.where(n <= size, n, np.maximum(size, np.ceil(share * total))).astype(np.int64)
-                        r = _batch(b.column(0)[p.start : p.stop], kind, k, doc, token, typed, at, h)
+                        r = _batch(b.column(0)[p.start : p.stop], kind, k, stream, at, h)
                         yield pa.record_batch([*r.columns, pa.array(total[doc[at]]), pa.array(need[doc[at]])], names=[*r.schema.names, "total", "need"])
 
-    return arrow(benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")), run, WINDOWS + ", total long, need long")
+    return arrow(benchmark.select("__key", F.col("text").cast("string")), run, WINDOWS + ", total long, need long")
 
 
 def document_windows(docs: DataFrame, sizes: list[tuple[int, int]], size: int, literal: int, filled: np.ndarray) -> DataFrame:
@@ -151,11 +189,11 @@ def document_windows(docs: DataFrame, sizes: list[tuple[int, int]], size: int, l
         for b in batches:
             blobs = texts(b.column(1))
             for p in portions(blobs):
-                for kind, k, doc, token, typed, at, h in windows(blobs[p], sizes, size, literal):
+                for kind, k, stream, at, h in windows(blobs[p], sizes, size, literal):
                     hit = has_bits(held.value, h)
-                    yield _batch(b.column(0)[p.start : p.stop], kind, k, doc, token, typed, at[hit], h[hit])
+                    yield _batch(b.column(0)[p.start : p.stop], kind, k, stream, at[hit], h[hit])
 
-    return arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, WINDOWS)
+    return arrow(docs.select("__key", F.col("text").cast("string")), run, WINDOWS)
 
 
 def _covered(spans: Column) -> Column:
@@ -173,49 +211,55 @@ def _covered(spans: Column) -> Column:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, literal: int = LITERAL, share: float = SHARE, run: int = RUN) -> DataFrame:
-    """(doc_id, item_id, coverage, verbatim) for each document that holds a benchmark item.
+    """(__key, item_id, coverage, verbatim) for each document that holds a benchmark item; __key is that of _keyed.
 
     coverage is the share found of the tokens that the item's windows cover. An item is held if `share` of them
     (`size` at least, all of an item of up to `size` tokens) or `run` of them on end stand in one place of the document,
     in any case and however its lines break (verbatim), or as templates whose slots are filled consistently: each
     number, name or unit of the item by one value in that place. Longer items are also held verbatim if `share` of them
     stands anywhere in the document. All document windows pass a bit filter of fixed size; what is left is hash-joined.
-    Items of one token match nothing; short items with fewer than `literal` words have no template.
+    Items of one token match nothing; short items with fewer than `literal` words have no template. An item without an id
+    is searched like any other, and reported with a null.
     """
-    items = cut(item_windows(benchmark, size, literal, share).where("id is not null"), "items")
+    named = cut(_keyed(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), "item_id").select("__key", "item_id", "text").distinct(), "named")
+    items = cut(item_windows(named, size, literal, share), "items")
     sizes = [(r["kind"], r["size"]) for r in items.select("kind", "size").distinct().orderBy("kind", "size").collect()]
     filled = seen_bits(items.select("window"), log2_bits_for(max(1, items.count()), 16))
-    hits = cut(document_windows(docs, sizes, size, literal, filled).where("id is not null"), "hits")
-    keys = items.select(F.col("id").alias("item_id"), "window", F.col("slots").alias("was"), F.col("place").alias("stood"), "total", "need")
-    met = hits.select(F.col("id").alias("doc_id"), "kind", "size", "place", "window", "slots").join(keys, "window")
-    met = cut(met.select("doc_id", "item_id", "kind", "size", (F.col("place") - F.col("stood")).alias("shift"), F.col("stood").alias("place"), "slots", "was", "total", "need"), "met")
+    hits = cut(document_windows(_keyed(docs, "doc_id"), sizes, size, literal, filled), "hits")
+    keys = items.select(F.col("id").alias("item"), "window", F.col("slots").alias("was"), F.col("place").alias("stood"), "total", "need")
+    met = hits.select(F.col("id").alias("__key"), "kind", "size", "place", "window", "slots").join(keys, "window")
+    met = cut(met.select("__key", "item", "kind", "size", (F.col("place") - F.col("stood")).alias("shift"), F.col("stood").alias("place"), "slots", "was", "total", "need"), "met")
     spans = F.array_sort(F.collect_set(F.struct("place", "size"))).alias("spans")
     most = [F.max(c).alias(c) for c in ("total", "need")]
     pairs = F.zip_with("was", "slots", lambda a, b: F.xxhash64(a, b))
     slots = [F.array_distinct(F.flatten(F.collect_set(x))).alias(c) for c, x in (("asked", F.col("was")), ("pairs", pairs))]
-    placed = met.groupBy("doc_id", "item_id", "kind", "shift").agg(spans, *most, *slots)
+    placed = met.groupBy("__key", "item", "kind", "shift").agg(spans, *most, *slots)
     placed = placed.where(F.size("asked") == F.size("pairs")).drop("shift", "asked", "pairs")
-    pooled = met.where((F.col("size") == size) & (F.col("total") >= 2 * size) & (F.col("kind") == PLAIN)).groupBy("doc_id", "item_id", "kind").agg(spans, *most)
+    pooled = met.where((F.col("size") == size) & (F.col("total") >= 2 * size) & (F.col("kind") == PLAIN)).groupBy("__key", "item", "kind").agg(spans, *most)
     found = placed.withColumn("c", _covered("spans")).withColumn("longest", F.col("c.longest")).unionByName(pooled.withColumn("c", _covered("spans")).withColumn("longest", F.lit(0).cast("long")))
     held = (F.col("c.covered") >= F.col("need")) | (F.col("longest") >= run)
-    return found.where(held).groupBy("doc_id", "item_id").agg(F.max(F.col("c.covered") / F.col("total")).alias("coverage"), F.bool_or(F.col("kind") == PLAIN).alias("verbatim"))
+    out = found.where(held).groupBy("__key", "item").agg(F.max(F.col("c.covered") / F.col("total")).alias("coverage"), F.bool_or(F.col("kind") == PLAIN).alias("verbatim"))
+    return out.join(named.select(F.col("__key").alias("item"), "item_id"), "item").select("__key", "item_id", "coverage", "verbatim")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **args: object) -> DataFrame:
     """doc_id, leaked, item_ids (sorted) and coverage (the largest) for each row of docs.
 
-    Null or empty texts, on either side, hold nothing. Null doc_id: never leaked, as no row can be named. Repeated rows
-    give repeated results; an empty benchmark flags nothing; other columns are ignored.
+    Each row is judged by its own text, so rows without an id, or of one id with several texts, have their own results;
+    repeated rows repeat them. Null or empty texts, on either side, hold nothing, and an empty benchmark flags nothing.
+    Items without an id flag documents, but are not listed. Texts of any length are read whole; items that are equal, or
+    tie, are all listed. Other columns are ignored; an empty table gives an empty result.
     """
-    found = cut(leaks(docs, benchmark, **args).groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("coverage").alias("coverage")), "leaks")
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(found, "doc_id", "left")
+    d = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id")
+    found = cut(leaks(d, benchmark, **args).groupBy("__key").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("coverage").alias("coverage")), "leaks")
+    out = d.select("doc_id", "__key").join(found, "__key", "left")
     return out.select("doc_id", F.col("item_ids").isNotNull().alias("leaked"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
 
 
 def keep_untainted(docs: DataFrame, benchmark: DataFrame, **args: object) -> DataFrame:
-    """The documents that hold no benchmark item, with their columns; a document without an id stays."""
-    gone = cut(leaks(docs, benchmark, **args).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    """The rows that hold no benchmark item, with their columns; decided as in decontaminate, by each row's own text."""
+    gone = cut(leaks(docs, benchmark, **args).select("__key").distinct(), "gone")
+    return _keyed(docs, "doc_id").join(gone, "__key", "left_anti").select(docs.columns)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
