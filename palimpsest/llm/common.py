@@ -15,7 +15,7 @@ from ..session import cut, ship
 WHITE = r"\x20\x09-\x0D"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 U64 = np.uint64
-__all__ = ["SEGMENT", "U64", "Spans", "arrow", "ascii_lower", "components", "cut", "has_bits", "joined", "log2_bits_for", "mix", "portions", "runs", "seen_bits", "signed", "table", "texts", "window_hashes"]
+__all__ = ["SEGMENT", "U64", "Spans", "arrow", "ascii_lower", "components", "cut", "has_bits", "joined", "keyed", "log2_bits_for", "mix", "portions", "runs", "seen_bits", "signed", "table", "texts", "window_hashes"]
 
 
 def ascii_lower(c: Column) -> Column:
@@ -33,6 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def keyed(df: DataFrame, name: str) -> DataFrame:
+    """df(name, text) with __key: tells rows apart by id and text, so that rows without an id, or with one of several texts,
+    are told apart. Rows that agree in both have one key."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return df.withColumn("__key", F.concat(F.coalesce(F.col(name).cast("long").cast("string"), F.lit("")), F.lit("-"), F.md5(text.cast("binary"))))
+
+
 # ---------------------------------------------------------------- words and hashes, in NumPy
 
 _SPACE = np.zeros(256, bool)

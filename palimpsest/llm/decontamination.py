@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Spans, arrow, cut, has_bits, joined, log2_bits_for, mix, portions, runs, seen_bits, signed, table, texts, window_hashes
+from .common import U64, Spans, arrow, cut, has_bits, joined, keyed, log2_bits_for, mix, portions, runs, seen_bits, signed, table, texts, window_hashes
 
 #: Tokens of a window, those of them that must be words as they stand, the share of an item that shows it, and the tokens on end
 #: that do for a long one.
@@ -140,13 +140,6 @@ def _batch(ids: pa.Array, kind: int, k: int, stream: Stream, at: np.ndarray, h:
     return pa.record_batch([ids.take(pa.array(doc[at])), full(kind), full(k), pa.array(place, pa.int64()), signed(h), slots], names=["id", "kind", "size", "place", "window", "slots"])
 
 
-def _keyed(df: DataFrame, name: str) -> DataFrame:
-    """df(name, text) with key: tells rows apart by id and text, so that rows without an id, or with one of several texts,
-    are judged on their own. Rows that agree in both are one."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return df.withColumn("__key", F.concat(F.coalesce(F.col(name).cast("long").cast("string"), F.lit("")), F.lit("-"), F.md5(text.cast("binary"))))
-
-
 WINDOWS = "id string, kind int, size int, place long, window long, slots array<long>"
 
 
@@ -211,7 +204,7 @@ def _covered(spans: Column) -> Column:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, literal: int = LITERAL, share: float = SHARE, run: int = RUN) -> DataFrame:
-    """(__key, item_id, coverage, verbatim) for each document that holds a benchmark item; __key is that of _keyed.
+    """(__key, item_id, coverage, verbatim) for each document that holds a benchmark item; __key is that of keyed.
 
     coverage is the share found of the tokens that the item's windows cover. An item is held if `share` of them
     (`size` at least, all of an item of up to `size` tokens) or `run` of them on end stand in one place of the document,
@@ -221,11 +214,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, literal: in
     Items of one token match nothing; short items with fewer than `literal` words have no template. An item without an id
     is searched like any other, and reported with a null.
     """
-    named = cut(_keyed(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), "item_id").select("__key", "item_id", "text").distinct(), "named")
+    named = cut(keyed(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), "item_id").select("__key", "item_id", "text").distinct(), "named")
     items = cut(item_windows(named, size, literal, share), "items")
     sizes = [(r["kind"], r["size"]) for r in items.select("kind", "size").distinct().orderBy("kind", "size").collect()]
     filled = seen_bits(items.select("window"), log2_bits_for(max(1, items.count()), 16))
-    hits = cut(document_windows(_keyed(docs, "doc_id"), sizes, size, literal, filled), "hits")
+    hits = cut(document_windows(keyed(docs, "doc_id"), sizes, size, literal, filled), "hits")
     keys = items.select(F.col("id").alias("item"), "window", F.col("slots").alias("was"), F.col("place").alias("stood"), "total", "need")
     met = hits.select(F.col("id").alias("__key"), "kind", "size", "place", "window", "slots").join(keys, "window")
     met = cut(met.select("__key", "item", "kind", "size", (F.col("place") - F.col("stood")).alias("shift"), F.col("stood").alias("place"), "slots", "was", "total", "need"), "met")
@@ -250,7 +243,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **args: object) -> Data
     Items without an id flag documents, but are not listed. Texts of any length are read whole; items that are equal, or
     tie, are all listed. Other columns are ignored; an empty table gives an empty result.
     """
-    d = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id")
+    d = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id")
     found = cut(leaks(d, benchmark, **args).groupBy("__key").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("coverage").alias("coverage")), "leaks")
     out = d.select("doc_id", "__key").join(found, "__key", "left")
     return out.select("doc_id", F.col("item_ids").isNotNull().alias("leaked"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
@@ -259,7 +252,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **args: object) -> Data
 def keep_untainted(docs: DataFrame, benchmark: DataFrame, **args: object) -> DataFrame:
     """The rows that hold no benchmark item, with their columns; decided as in decontaminate, by each row's own text."""
     gone = cut(leaks(docs, benchmark, **args).select("__key").distinct(), "gone")
-    return _keyed(docs, "doc_id").join(gone, "__key", "left_anti").select(docs.columns)
+    return keyed(docs, "doc_id").join(gone, "__key", "left_anti").select(docs.columns)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Spans, _SPACE, arrow, components, cut, has_bits, joined, log2_bits_for, mix, portions, runs, seen_bits, signed, table, texts, window_hashes
+from .common import U64, Spans, _SPACE, arrow, components, cut, has_bits, joined, keyed, log2_bits_for, mix, portions, runs, seen_bits, signed, table, texts, window_hashes
 
 #: Bands of coordinates: at similarity 0.8 a pair misses all bands once in 300,000 times, (1 - 0.8**5)**32.
 BANDS, ROWS = 32, 5
 EMPTY = U64(0xFFFFFFFFFFFFFFFF)
-#: Texts of a pivot that are compared in one block, and the share of coordinates that must agree.
-BLOCK, AGREE = 400, 0.66
+#: Texts of a pivot in one block, and the share of coordinates in which texts must agree to be compared in full.
+BLOCK, AGREE = 200, 0.66
 
 
 def shingles(blobs: list[bytes], k: int) -> list[np.ndarray]:
@@ -71,11 +71,13 @@ def _set_key(s: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size), hi and lo (128 bits that name the set), bands, sketch (a byte of each coordinate)."""
+    """The columns of docs(..., text) but the last, n (set size), hi and lo (128 bits that name the set), bands, sketch (a
+    byte of each coordinate)."""
+    names = docs.columns[:-1]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            blobs = texts(b.column(1))
+            blobs = texts(b.column(len(names)))
             for p in portions(blobs):
                 sets = shingles(blobs[p], k)
                 sk = sketches(sets, BANDS * ROWS)
@@ -86,35 +88,40 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 low = mix(sk).astype(np.uint8)
                 yield pa.record_batch(
                     [
-                        b.column(0)[p.start : p.stop],
+                        *(c[p.start : p.stop] for c in b.columns[:-1]),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(np.ascontiguousarray(keys[:, 0])),
                         pa.array(np.ascontiguousarray(keys[:, 1])),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, (len(sets) + 1) * BANDS, BANDS, dtype=np.int32)), signed(bands.reshape(-1))),
                         pa.array([r.tobytes() for r in low], pa.binary()),
                     ],
-                    names=["doc_id", "n", "hi", "lo", "bands", "sketch"],
+                    names=[*names, "n", "hi", "lo", "bands", "sketch"],
                 )
 
-    return arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, n long, hi long, lo long, bands array<long>, sketch binary")
+    return arrow(docs, run, "".join(f"{c} {t}, " for c, t in docs.dtypes[:-1]) + "n long, hi long, lo long, bands array<long>, sketch binary")
+
 
+def _sets_of(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
+    """(node, elements) of wanted(hi, lo, node, rep), from rows of docs(doc_id, text) whose id is rep.
 
-def _sets_of(docs: DataFrame, k: int, reps: DataFrame) -> DataFrame:
-    """(node, elements) of the sets whose first document is in reps(rep)."""
-    spark = docs.sparkSession
-    wanted = spark.sparkContext.broadcast(seen_bits(reps.select(F.col("rep")), log2_bits_for(max(1, reps.count()), 12)))
+    A bit filter of fixed size keeps most other texts from being cut into shingles; what passes it by chance is dropped by
+    a join on all 128 bits, which shuffles no more than the sets that were made.
+    """
+    hashed = F.xxhash64("doc_id")
+    bits = docs.sparkSession.sparkContext.broadcast(seen_bits(wanted.select(F.xxhash64("rep")), log2_bits_for(max(1, wanted.count()), 12)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filled = wanted.value
+        filled = bits.value
         for b in batches:
-            ids = b.column(0).fill_null(0).to_numpy(zero_copy_only=False).view(U64)
-            b = b.filter(pa.array(has_bits(filled, ids)))
+            b = b.filter(pa.array(has_bits(filled, b.column(0).to_numpy(zero_copy_only=False).view(U64))))
             blobs = texts(b.column(1))
             for p in portions(blobs):
                 sets = [s for s in shingles(blobs[p], k) if len(s)]
-                yield pa.record_batch([pa.array([_set_key(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "elements"])
+                keys = np.array([_set_key(s) for s in sets], np.int64).reshape(-1, 2)
+                yield pa.record_batch([pa.array(np.ascontiguousarray(keys[:, 0])), pa.array(np.ascontiguousarray(keys[:, 1])), pa.array([s.tobytes() for s in sets], pa.binary())], names=["hi", "lo", "elements"])
 
-    return arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "node long, elements binary").groupBy("node").agg(F.first("elements").alias("elements"))
+    made = arrow(docs.select(hashed, "text"), run, "hi long, lo long, elements binary")
+    return made.join(wanted.select("hi", "lo", "node"), ["hi", "lo"]).groupBy("hi", "lo").agg(F.first("node").alias("node"), F.first("elements").alias("elements")).select("node", "elements")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -135,30 +142,50 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return arrow(j.select("a", "b", "x", "y"), run, "a long, b long")
 
 
+def _dealt(few: DataFrame) -> DataFrame:
+    """few(b, node, root) with p, q and side: the pairs of blocks of a pivot b that a text takes part in, and its side.
+
+    A component of BLOCK texts or more has blocks of its own, smaller ones share blocks. Blocks of one component never
+    meet, so copies of a text, however many, meet only what is not linked to them yet.
+    """
+    sizes = cut(few.groupBy("b", "root").agg(F.count("*").alias("c")), "sizes")
+    large = F.col("c") >= BLOCK
+    pooled = sizes.where(~large).groupBy("b").agg(F.sum("c").alias("c")).select("b", F.lit(-1).cast("long").alias("owner"), F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    own = sizes.where(large).select("b", F.col("root").alias("owner"), F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    owners = cut(pooled.unionByName(own), "owners")
+    block = F.struct("owner", "k").alias("block")
+    blocks = owners.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("b", block)
+    p, q = blocks.select("b", F.col("block").alias("p")), blocks.select("b", F.col("block").alias("q"))
+    pairs = p.join(q, "b").where("p < q and (p.owner <> q.owner or p.owner = -1) or p = q and p.owner = -1")
+    sides = pairs.select("b", F.col("p").alias("block"), "p", "q", F.lit(0).alias("side")).unionByName(pairs.where("p <> q").select("b", F.col("q").alias("block"), "p", "q", F.lit(1).alias("side")))
+    members = few.join(sizes, ["b", "root"]).withColumn("owner", F.when(large, F.col("root")).otherwise(-1)).join(owners, ["b", "owner"])
+    # The texts of a large component are dealt by their own hash, small components as a whole.
+    at = F.pmod(F.when(F.col("owner") == -1, F.xxhash64("root")).otherwise(F.xxhash64("node")), F.col("blocks")).cast("int")
+    return members.withColumn("k", at).select("b", "node", "root", block).join(sides, ["b", "block"]).drop("block")
+
+
 def _unresolved(pairs: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of roots that links join, of what the pivots left apart.
 
-    Two texts of a bucket both stand in a pair with its pivot, so each pivot's texts are compared with each other, if
-    they are not of one component yet. They are dealt in blocks of about BLOCK, and each pair of blocks is a group of its
-    own with the full sets: no task holds all texts of a pivot, no pair becomes a row, only links do. Pairs whose sketches
-    agree in less than AGREE of the coordinates are passed over; one of similarity 0.8 does once in 100,000 times.
+    Two texts of a bucket both stand in a pair with its pivot, so the texts of each pivot that are not of one component yet
+    are compared with each other, block by block with the full sets: no task holds all texts of a pivot, no pair becomes a
+    row, only links do. Pairs whose sketches agree in less than AGREE of the coordinates are passed over; one of similarity
+    0.8 does once in 100,000 times.
     """
-    named = pairs.join(labels, F.col("a") == F.col("node"), "left").select("a", "b", F.coalesce("root", "a").alias("root"))
-    several = named.groupBy("b").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("c")).where("r1 <> r2")
-    several = cut(several.select("b", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "several")
-    few = named.join(several, "b").select("b", F.col("a").alias("node"), "root", "blocks", F.pmod(F.hash("a"), "blocks").alias("i"))
-    held = few.join(classes.select(F.col("hi").alias("node"), "sketch"), "node").join(sets, "node")
-    dealt = held.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("b", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "root", "sketch", "elements")
+    named = cut(pairs.join(labels, F.col("a") == F.col("node"), "left").select("b", F.col("a").alias("node"), F.coalesce("root", "a").alias("root")), "members")
+    several = named.groupBy("b").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("b")
+    dealt = _dealt(cut(named.join(several, "b", "left_semi"), "few"))
+    held = dealt.join(classes.select("node", "sketch"), "node").join(sets, "node").select("b", "p", "q", "side", "root", "sketch", "elements")
 
     def compare(x: pd.DataFrame) -> pd.DataFrame:
         s = np.frombuffer(b"".join(x["sketch"]), np.uint8).reshape(len(x), -1)
         sets = [np.frombuffer(e, U64) for e in x["elements"]]
         n = np.array([len(e) for e in sets])
-        root, i = x["root"].to_numpy(), x["i"].to_numpy()
+        root, side = x["root"].to_numpy(), x["side"].to_numpy()
         group = np.unique(root, return_inverse=True)[1]
-        right = np.flatnonzero(i == x["q"].iat[0])
+        right = np.flatnonzero(side == side.max())
         out = []
-        for u in np.flatnonzero(i == x["p"].iat[0]):
+        for u in np.flatnonzero(side == 0):
             v = right[(group[right] != group[u]) & (100 * np.minimum(n[right], n[u]) >= percent * np.maximum(n[right], n[u]))]
             for w in v[(s[v] == s[u]).mean(axis=1) >= AGREE] if len(v) else v:
                 if group[w] != group[u]:
@@ -168,48 +195,69 @@ def _unresolved(pairs: DataFrame, labels: DataFrame, classes: DataFrame, sets: D
                         group[group == group[w]] = group[u]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return dealt.groupBy("b", "p", "q").applyInPandas(compare, "a long, b long")
+    return held.groupBy("b", "p", "q").applyInPandas(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id among all that links reach), kept (doc_id = component_id).
+def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The columns of docs(doc_id, ..., text) but the last, n (set size), root (a number of the component; null for an empty
+    set) and least (the smallest doc_id of the component).
 
-    Texts with equal shingle sets are one class from the start, so copies are never paired. In each bucket of each
-    band, all classes are compared with one of them; what is then still unlinked is compared in blocks. All links are
-    confirmed on the full sets, with 64-bit hashes for shingles.
-
-    Null or wordless text: an empty set, linked with nothing, kept. Null doc_id: takes its component's id, and is kept
-    only where no row of the component has an id. Repeated rows give repeated results. Other columns are ignored.
+    Texts with equal shingle sets are one class from the start, so copies are never paired; classes are numbered when they
+    are written. In each bucket of each band, all classes are compared with one of them; what is then still unlinked is
+    compared in blocks. All links are confirmed on the full sets, with 64-bit hashes for shingles.
     """
     sig = cut(signatures(docs, k), "signatures")
-    classes = sig.where("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    classes = cut(classes, "classes")
-    rows = classes.select(F.col("hi").alias("node"), F.explode("bands").alias("band"))
+    classes = sig.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    rows = classes.select("node", F.explode("bands").alias("band"))
     buckets = cut(rows.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("c")).where("c > 1").select("band", "pivot"), "buckets")
     pairs = cut(rows.join(buckets, "band").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
     met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = cut(_sets_of(docs, k, classes.join(met, classes.hi == met.node, "left_semi").select("rep")), "sets")
+    wanted = cut(classes.join(met, "node", "left_semi").select("hi", "lo", "node", "rep"), "wanted")
+    sets = cut(_sets_of(docs.select("doc_id", "text"), k, wanted), "sets")
     links = cut(_verified(pairs, sets, percent), "links")
     labels = components(links)
     found = cut(_unresolved(pairs, labels, classes, sets, percent), "links")
-    named = classes.join(labels.withColumnRenamed("node", "hi"), "hi", "left").select("hi", "lo", "rep", F.coalesce("root", "hi").alias("root"))
+    named = classes.join(labels, "node", "left").select("hi", "lo", "rep", F.coalesce("root", "node").alias("root"))
     if not found.isEmpty():
-        joined_roots = components(found).toDF("root", "above")
-        named = named.join(joined_roots, "root", "left").select("hi", "lo", "rep", F.coalesce("above", "root").alias("root"))
+        above = components(found).toDF("root", "above")
+        named = named.join(above, "root", "left").select("hi", "lo", "rep", F.coalesce("above", "root").alias("root"))
     named = cut(named, "named")
-    least = cut(named.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
-    ids = named.join(least, "root").select("hi", "lo", "component_id")
-    out = sig.select("doc_id", "n", "hi", "lo").join(ids, ["hi", "lo"], "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    least = cut(named.groupBy("root").agg(F.min("rep").alias("least")), "least")
+    return sig.drop("bands", "sketch").join(named.join(least, "root").select("hi", "lo", "root", "least"), ["hi", "lo"], "left").drop("hi", "lo")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id among all that links reach), kept (doc_id = component_id).
+
+    Null or wordless text: an empty set, linked with nothing, kept. Null doc_id: linked like any other; takes its
+    component's id, and is kept only where no row of the component has an id. Rows of one id with several texts are
+    texts of their own. Repeated rows give repeated results. Texts of any length are compared as wholes; ties don't arise,
+    as the least id decides. Other columns are ignored; an empty table gives an empty result.
+    """
+    out = _grouped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), k, percent)
+    component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that near_duplicates keeps, with their columns; repeated rows of a doc_id are one document. A
-    document without an id stays."""
-    gone = cut(near_duplicates(docs, k, percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    left = docs.where("doc_id is not null").join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti").dropDuplicates(["doc_id"])
-    return left.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """docs without near duplicates: one row of each group stays, with its columns.
+
+    It is the row of the least doc_id (of rows of one id, or without any, that of the least hash). Rows are told apart by
+    id and text, so of one id with several texts, each text is judged on its own. Rows that agree in both are one. Empty
+    texts, and those without words, are duplicates of nothing but themselves under one id.
+    """
+    own = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id")
+    group = F.coalesce(F.col("root").cast("string"), F.col("__key")).alias("group")
+    rows = _grouped(own.select("doc_id", "__key", "text"), k, percent).groupBy(group, "__key").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
+    rows = cut(rows, "rows")
+    first = rows.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "__key")).alias("first"), F.sum("n").alias("all")).where("all > 1")
+    marks = cut(rows.join(first, "group").select("__key", (F.col("__key") != F.col("first.__key")).alias("gone"), "n").where("gone or n > 1"), "marks")
+    left = keyed(docs, "doc_id").join(marks.where("gone").select("__key"), "__key", "left_anti")
+    again = marks.where("not gone").select("__key")
+    if not again.isEmpty():
+        left = left.join(again, "__key", "left_anti").unionByName(left.join(again, "__key", "left_semi").dropDuplicates(["__key"]))
+    return left.select(docs.columns)
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,4 +189,4 @@ def test_against_brute_force(spark):
 
 
 def leaks_by_id(docs, bench):
-    return D._keyed(docs, "doc_id").select("__key", "doc_id").join(D.leaks(docs, bench), "__key")
+    return D.keyed(docs, "doc_id").select("__key", "doc_id").join(D.leaks(docs, bench), "__key")
