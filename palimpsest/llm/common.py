@@ -15,7 +15,7 @@ from ..session import cut, ship
 WHITE = r"\x20\x09-\x0D"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 U64 = np.uint64
-__all__ = ["SEGMENT", "U64", "Spans", "arrow", "ascii_lower", "components", "cut", "has_bits", "joined", "keyed", "log2_bits_for", "mix", "portions", "runs", "seen_bits", "signed", "table", "texts", "window_hashes"]
+__all__ = ["SEGMENT", "U64", "Spans", "add_bits", "arrow", "ascii_lower", "components", "cut", "has_bits", "joined", "keyed", "log2_bits_for", "mix", "portions", "runs", "seen_bits", "signed", "table", "texts", "window_hashes"]
 
 
 def ascii_lower(c: Column) -> Column:
@@ -187,6 +187,10 @@ def _mark(once: np.ndarray, again: np.ndarray, h: np.ndarray, bits: int, k: int,
         np.bitwise_or.at(once, p >> 3, np.left_shift(1, p & 7).astype(np.uint8))
 
 
+def add_bits(filled: np.ndarray, h: np.ndarray, k: int = 2) -> None:
+    _mark(filled, filled, h, len(filled) * 8, k, False)
+
+
 def has_bits(filled: np.ndarray, h: np.ndarray, k: int = 2) -> np.ndarray:
     out = np.ones(len(h), bool)
     for i in range(k):

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table
+from .sharding import positions
 
-#: Rows that share a bucket of a source, on average; running sums are within a bucket.
-PER_BUCKET = 2_000
+#: Rows that share a bucket of a source, and buckets that share a group of them, on average; running sums are within each.
+PER_BUCKET, PER_GROUP = 2_000, 1_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -20,21 +21,23 @@ def _key(source: Column) -> Column:
 def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """sources(key, source_size) with w, target and slope.
 
-    Targets share the total by weight, none above `most` times its source: with sources in the order of most * size / w,
-    the level at which the rest fits is the largest quotient of what is left by the weights left that caps none of them.
+    Targets share the total by weight, none above `most` times its source: sources that the level of the rest would lift
+    over their cap are capped, which raises the level, until none is left. Each round is an aggregate over the sources.
     """
-    by_key, by_ratio = Window.orderBy("key"), Window.orderBy("ratio", "key")
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    turn = F.pmod(F.row_number().over(by_key) - 1, F.lit(len(weights)))
-    s = sources.withColumn("turn", turn).withColumn("w", F.element_at(F.array(*map(F.lit, weights)), turn + 1)).withColumn("cap", F.col("source_size") * most)
-    s = s.withColumn("ratio", F.col("cap").cast("double") / F.col("w"))
-    left = F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0))
-    weight = F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0))
-    s = s.withColumn("level", left.cast("double") / weight.cast("double"))
-    level = F.coalesce(F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every), F.lit(0.0))
+    turn = F.pmod("__position", F.lit(len(weights))).cast("int")
+    ranked = positions(sources.select("key", "source_size"), ["key"]).withColumn("turn", turn).withColumn("w", F.element_at(F.array(*map(F.lit, weights)), F.col("turn") + 1))
+    ranked = cut(ranked.select("key", "source_size", "turn", "w", (F.col("source_size") * most).alias("cap")), "sources")
+    whole = ranked.agg(F.sum("source_size").alias("total"), F.sum("w").alias("w")).first()
+    total, free, capped = whole["total"] or 0, whole["w"] or 0, 0
+    level = total / free if free else 0.0
+    while free:
+        over = ranked.where(F.col("cap").cast("double") / F.col("w") < level).agg(F.sum("cap").alias("cap"), F.sum("w").alias("w")).first()
+        if (over["cap"] or 0) == capped:
+            break
+        capped, free = over["cap"], whole["w"] - over["w"]
+        level = (total - capped) / free if free else level
     slope = (F.col("turn") - F.lit((len(weights) - 1) / 2)) / F.lit(max(1, len(weights) - 1))
-    return s.select("key", "source_size", "w", F.least(F.col("cap").cast("double"), level * F.col("w")).alias("target"), slope.cast("double").alias("slope"))
+    return ranked.select("key", "source_size", "w", F.least(F.col("cap").cast("double"), F.lit(level) * F.col("w")).alias("target"), slope.cast("double").alias("slope"))
 
 
 def moment(demand: Column, slope: Column) -> Column:
@@ -51,7 +54,8 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -
 
     A source's documents stand in the order of the MD5 of their ids; the mix takes that stream again and again up to
     the target, so a document is taken as often as the stream passes it, at the end in part. Running sums are split by
-    the first bits of the MD5, so a source of any share is summed by many tasks; sums of buckets are summed in turn.
+    the first bits of the MD5, so a source of any share is summed by many tasks; sums of buckets, and of groups of buckets,
+    are summed in turn.
     """
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     buckets = max(1, docs.count() // PER_BUCKET)
@@ -60,8 +64,13 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -
     rows = rows.withColumn("__bucket", F.floor(F.conv(F.substring("__order", 1, 8), 16, 10).cast("long") * buckets / (1 << 32)).cast("int"))
     sums = cut(rows.groupBy(F.col("__key").alias("key"), F.col("__bucket").alias("bucket")).agg(F.sum("__size").alias("size")), "buckets")
     goal = cut(targets(sums.groupBy("key").agg(F.sum("size").alias("source_size")), weights, most), "targets")
-    ahead = F.coalesce(F.sum("size").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = cut(sums.withColumn("ahead", ahead).join(goal, "key").select("key", "bucket", "ahead", "source_size", "target", "slope"), "starts")
+    before = Window.unboundedPreceding, -1
+    sums = sums.withColumn("group", F.floor(F.col("bucket") / PER_GROUP).cast("int"))
+    groups = sums.groupBy("key", "group").agg(F.sum("size").alias("all"))
+    groups = groups.select("key", "group", F.coalesce(F.sum("all").over(Window.partitionBy("key").orderBy("group").rowsBetween(*before)), F.lit(0)).alias("base"))
+    inside = F.coalesce(F.sum("size").over(Window.partitionBy("key", "group").orderBy("bucket").rowsBetween(*before)), F.lit(0))
+    sums = sums.withColumn("inside", inside).join(groups, ["key", "group"]).withColumn("ahead", F.col("base") + F.col("inside"))
+    starts = cut(sums.join(goal, "key").select("key", "bucket", "ahead", "source_size", "target", "slope"), "starts")
     within = Window.partitionBy("__key", "__bucket").orderBy("__order", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__within", F.coalesce(F.sum("__size").over(within), F.lit(0)))
     rows = rows.join(starts.toDF("__key", "__bucket", "__ahead", "__source_size", "__target", "__slope"), ["__key", "__bucket"])
@@ -89,14 +98,18 @@ def schedule(docs: DataFrame, **args: object) -> DataFrame:
 
 def mixed(docs: DataFrame, **args: object) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, in the order of the positions; where the stream of its
-    source ends within a document, the last copy has its first words only."""
+    source ends within a document, the last copy ends after the words that are taken, its white space as it was.
+
+    Null or wordless texts have no words to take and are left out; null sources, null ids, ties and repeated rows as in
+    schedule. Texts of any length are taken whole but for that last copy. An empty table gives an empty result.
+    """
     names = docs.columns
     p = plan(docs, **args).where("__taken > 0")
     p = p.withColumn("__pass", F.explode(F.expr("sequence(0L, (__taken - 1) div __size)")))
     p = p.withColumn("__at", moment((F.col("__before") + F.col("__pass") * F.col("__source_size")) / F.col("__take"), F.col("__slope")))
     words = F.least(F.col("__size"), F.col("__taken") - F.col("__pass") * F.col("__size"))
     text = F.col("text").cast("string")
-    first = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(0)), F.lit(1), words.cast("int")), " ")
+    first = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), words.cast("int")), "")
     new = {"text": F.when(words < F.col("__size"), first).otherwise(text)}
     if "n_chars" in names:
         new["n_chars"] = F.when(words < F.col("__size"), F.length(first).cast("long")).otherwise(F.col("n_chars"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import LOWER, UPPER
 from .quality_rules import BOILERPLATE
+from .sharding import BITS, DIMENSIONS, SHARDS, curve_tables
 from .url_filter import RULES
 
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
@@ -55,6 +56,27 @@ def _quality_rules() -> str:
       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 2 * lost <= n_words AND lost < n_words AS kept FROM r"""
 
 
+def _sharding() -> str:
+    """Cells by the middles of values' rows; the curve's automaton step by step; CRC-32 byte by byte."""
+    digit, then = curve_tables(len(DIMENSIONS))
+    parts = ["t AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab)"]
+    for d in DIMENSIONS:
+        parts.append(f"n_{d} AS (SELECT {d} AS v, count(*)::BIGINT AS c FROM documents WHERE {d} IS NOT NULL GROUP BY 1)")
+        parts.append(f"c_{d} AS (SELECT v, ((2 * (sum(c) OVER (ORDER BY v)) - c) * {1 << BITS} // (2 * sum(c) OVER ()))::INTEGER AS cell FROM n_{d})")
+    cells = ", ".join(f"coalesce(c_{d}.cell, 0) AS x{k}" for k, d in enumerate(DIMENSIONS))
+    joins = " ".join(f"LEFT JOIN c_{d} ON c_{d}.v = documents.{d}" for d in DIMENSIONS)
+    crc = "xor(list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(text), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+    parts.append(f"s{BITS} AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT + 8 AS size, {crc}::BIGINT AS crc, 0 AS state, 0::BIGINT AS h, {cells} FROM documents {joins}, t)")
+    keep = "doc_id, size, crc, " + ", ".join(f"x{k}" for k in range(len(DIMENSIONS)))
+    for i in range(BITS - 1, -1, -1):
+        orthant = " + ".join(f"((x{k} >> {i}) & 1) * {1 << k}" for k in range(len(DIMENSIONS)))
+        at = f"[state * {1 << len(DIMENSIONS)} + {orthant} + 1]"
+        parts.append(f"s{i} AS (SELECT {keep}, h * {1 << len(DIMENSIONS)} + {digit}{at} AS h, {then}{at} AS state FROM s{i + 1})")
+    parts.append("o AS (SELECT *, row_number() OVER (ORDER BY h, crc NULLS FIRST, doc_id NULLS FIRST, size) - 1 AS pos, count(*) OVER () AS total FROM s0)")
+    shard = f"pos * {SHARDS} // total"
+    return f"""WITH {", ".join(parts)} SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, ({shard})::INTEGER AS shard, (pos - (({shard}) * total + {SHARDS - 1}) // {SHARDS})::BIGINT AS slot, NULL::INTEGER AS grown_shard, h::BIGINT AS hilbert FROM o"""
+
+
 def _mixing() -> str:
     return rf"""WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS key, coalesce(len({_WORDS.format("text")}), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS o FROM documents),
     s AS (SELECT key, sum(size)::BIGINT AS source_size FROM d GROUP BY key),
@@ -80,6 +102,7 @@ def _line_dedup(chars: int = 40, docs: int = 5) -> str:
 ORACLES = {
     "op1_near_dedup": _near_dedup(),
     "op2_url_filter": _url_filter(),
+    "op3_sharding": _sharding(),
     "op4_quality_rules": _quality_rules().replace(" AS at,", ' AS "at",'),
     "op6_mixing": _mixing(),
     "op10_line_dedup": _line_dedup(),

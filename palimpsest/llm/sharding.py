@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table
@@ -57,24 +57,43 @@ def hilbert(cells: list[Column], bits: int) -> Column:
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, step)["h"]
 
 
-def _ordinal(df: DataFrame, name: str) -> Column:
-    """A number in the order of the column: a number's logarithm, or a string's first seven bytes."""
-    c = F.col(name)
-    if dict(df.dtypes)[name] == "string":
-        return F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("double")
-    return F.signum(c.cast("double")) * F.log1p(F.abs(c.cast("double")))
+def _starts(rows: DataFrame, weight: str | None = None) -> tuple[DataFrame, int]:
+    """(__part, __start) and the total: what comes before each partition of written rows with __at. One row for each
+    partition is gathered."""
+    part = F.shiftright("__at", 33).alias("__part")
+    sizes = sorted((r["__part"], r["n"]) for r in rows.groupBy(part).agg((F.sum(weight) if weight else F.count("*")).cast("long").alias("n")).collect())
+    before, total = [], 0
+    for p, n in sizes:
+        before.append((p, total))
+        total += n
+    return rows.sparkSession.createDataFrame(before, "__part long, __start long"), total
+
+
+def cuts(docs: DataFrame, name: str, cells: int) -> list[tuple[object, int]]:
+    """(value, cell): the values of a column at which a new cell begins, so that cells hold about equally many rows.
+
+    Distinct values are counted and range-sorted; a value is in the cell in which the middle of its rows falls. A cell that
+    one value overfills leaves others empty. `cells` rows are gathered at most; nulls don't count.
+    """
+    values = docs.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("__value")).agg(F.count("*").alias("__c"))
+    rows = cut(values.repartitionByRange("__value").sortWithinPartitions("__value").withColumn("__at", F.monotonically_increasing_id()), "values")
+    starts, total = _starts(rows, "__c")
+    placed = rows.withColumn("__part", F.shiftright("__at", 33)).join(F.broadcast(starts), "__part")
+    within = F.coalesce(F.sum("__c").over(Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cell = F.expr(f"(2 * (__start + __within) + __c) * {cells} div (2 * {max(1, total)})")
+    first = placed.withColumn("__within", within).groupBy(cell.cast("int").alias("__cell")).agg(F.min("__value").alias("__value"))
+    return [(r["__value"], r["__cell"]) for r in first.orderBy("__cell").collect()]
 
 
 def curve_keys(docs: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS) -> DataFrame:
-    """docs with __hilbert: each dimension is cut in 2**bits equal ranges between its least and greatest value; a null is
-    in the first range."""
-    ordinals = [_ordinal(docs, x) for x in dimensions]
-    ends = docs.agg(*[f(o).alias(f"{i}{k}") for k, o in enumerate(ordinals) for i, f in (("lo", F.min), ("hi", F.max))]).first()
+    """docs with __hilbert: each dimension is cut in at most 2**bits ranges of about equally many rows; a null is in the
+    first range."""
     cells = []
-    for k, o in enumerate(ordinals):
-        low, high = ends[f"lo{k}"], ends[f"hi{k}"]
-        scaled = F.lit(0.0) if low is None or high == low else (o - F.lit(low)) * F.lit((1 << bits) / (high - low))
-        cells.append(F.coalesce(F.least(F.greatest(F.floor(scaled), F.lit(0)), F.lit((1 << bits) - 1)).cast("int"), F.lit(0)))
+    for name in dimensions:
+        cell, last = F.lit(0), 0
+        for value, k in cuts(docs, name, 1 << bits):
+            cell, last = cell + F.when(F.col(name) >= F.lit(value), k - last).otherwise(0), k
+        cells.append(F.coalesce(cell, F.lit(0)))
     names = [f"__c{k}" for k in range(len(cells))]
     return docs.withColumns(dict(zip(names, cells, strict=True))).withColumn("__hilbert", hilbert([F.col(x) for x in names], bits)).drop(*names)
 
@@ -83,18 +102,14 @@ def positions(keys: DataFrame, order: list[str]) -> DataFrame:
     """keys, ordered by `order` and written, with __position: gapless from 0 over all rows.
 
     Rows are range-partitioned by the whole order, so equal curve indexes do not share a task; a row's place in its
-    partition and the sizes of the partitions before give its position. Only one count for each partition is gathered.
+    partition and the sizes of the partitions before give its position. Only one count for each partition is gathered, and
+    sent back as a table of as many rows.
     """
     at = F.monotonically_increasing_id()
     rows = cut(keys.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", at), "ordered")
-    part = F.shiftright("__at", 33)
-    sizes = sorted((r["p"], r["n"]) for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
-    before, total = [], 0
-    for p, n in sizes:
-        before.append((p, total))
-        total += n
-    starts = F.create_map(*[F.lit(x).cast("long") for pair in before for x in pair]) if before else F.lit(None).cast("map<bigint,bigint>")
-    return rows.withColumn("__position", F.element_at(starts, part) + F.col("__at").bitwiseAND((1 << 33) - 1)).withColumn("__total", F.lit(total).cast("long")).drop("__at")
+    starts, total = _starts(rows)
+    out = rows.withColumn("__part", F.shiftright("__at", 33)).join(F.broadcast(starts), "__part")
+    return out.withColumn("__position", F.col("__start") + F.col("__at").bitwiseAND((1 << 33) - 1)).withColumn("__total", F.lit(total).cast("long")).drop("__at", "__part", "__start")
 
 
 def runs(df: DataFrame, shards: int) -> DataFrame:
@@ -107,9 +122,10 @@ def runs(df: DataFrame, shards: int) -> DataFrame:
 def assign(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard and hilbert for each row of docs.
 
-    Rows are sorted along the curve, within a cell by text checksum and doc_id (so equal texts of a cell are
-    neighbours), and cut in runs: law `rows`. Texts are not shuffled. Null text: no checksum, size 8. Null or clashing
-    dimensions fall in the first range; ties in all keys are equal rows. An empty table gives an empty result.
+    Rows are sorted along the curve, within a cell by text checksum and doc_id, and cut in runs: law `rows`. Equal texts of
+    a cell are neighbours; across cells, or where a run ends between them, they part. Texts are not shuffled, whatever
+    their length. Null text: no checksum, size 8. Null dimensions fall in the first range; ties in all keys are equal
+    rows; null ids sort first. Other columns are ignored. An empty table gives an empty result.
     """
     text = F.col("text").cast("string")
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long")
@@ -119,7 +135,8 @@ def assign(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str, ...] =
 
 
 def with_shards(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS) -> DataFrame:
-    """docs and their shard and slot (named __shard and __slot if docs has such columns), in the order of the curve."""
+    """docs and their shard and slot (named __shard and __slot if docs has such columns), in the order of the curve, decided
+    as in assign. All rows stay: null texts and ids, repeated rows, texts of any length. An empty table gives none."""
     keyed = curve_keys(docs, dimensions, bits).withColumn("__crc", F.crc32(F.col("text").cast("string").cast("binary")))
     out = runs(positions(keyed, ["__hilbert", "__crc", "doc_id"]), shards)
     taken = {c.lower() for c in docs.columns}

@@ -35,12 +35,20 @@ def test_brute_force(spark):
 
 
 def test_full_filters_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(L, "log2_bits_for", lambda *a: 8)
+    monkeypatch.setattr(L, "log2_bits_for", lambda *a, **k: 8)
     texts = corpus(2)
     want = brute(texts)
     assert {r.doc_id: r.kept_text for r in L.drop_repeated_lines(documents(spark, texts)).collect()} == {i: "\n".join(x) for i, x in want.items()}
 
 
+def test_filters_of_parts_lose_nothing(spark):
+    """With room for 2**10 bits only, hashes are dealt to many filters."""
+    texts = corpus(3) | {1000 + i: "one line that hundreds of documents hold, all in one batch" for i in range(300)}
+    want = brute(texts)
+    got = L.drop_repeated_lines(documents(spark, texts), high=10).collect()
+    assert {r.doc_id: r.kept_text for r in got} == {i: "\n".join(x) for i, x in want.items()} and len(got) == len(texts)
+
+
 def test_bits_seen_twice(spark):
     once, twice = list(range(1000)), list(range(5000, 5400))
     df = spark.createDataFrame([(x,) for x in once + twice + twice], "h long").repartition(5)

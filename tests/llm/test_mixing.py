@@ -56,7 +56,7 @@ def test_moment_inverts_the_integral(spark):
 
 
 def test_the_mix_has_what_the_plan_takes(spark):
-    texts = {i: " ".join(f"{i}w{j}" for j in range(10 + i % 7)) for i in range(60)}
+    texts = {i: "\n" + "".join(f"{i}w{j}" + (" ", "\n", " \t ")[j % 3] for j in range(10 + i % 7)) for i in range(60)}
     d = odd_columns(documents(spark, texts, source=lambda i: "abc"[i % 20 // 9]))
     plan = {r.doc_id: r.taken for r in M.schedule(d).collect()}
     out = M.mixed(d)

@@ -34,6 +34,22 @@ def test_law(spark, n):
     assert order == sorted(order)
 
 
+def test_cells_hold_about_equally_many_rows(spark):
+    """Strings of one beginning are told apart, by the rows that they have and not by how they are spelt."""
+    rows = [(i, "", "en", f"common-crawl-{i % 40:02d}" if i % 2 else "common-crawl-00", i * i) for i in range(800)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert H.cuts(d, "lang", 8) == [("en", 4)]
+    for name, value in (("source", lambda r: r[3]), ("n_chars", lambda r: r[4])):
+        cuts = H.cuts(d, name, 8)
+        assert [c for _, c in cuts] == sorted({c for _, c in cuts}) and all(0 <= c < 8 for _, c in cuts)
+        ordered, at = sorted(map(value, rows)), {}
+        for k, v in enumerate(ordered):
+            at.setdefault(v, []).append(k)
+        for v, places in at.items():
+            middle = (places[0] + places[-1] + 1) / 2
+            assert max((c for w, c in cuts if w <= v), default=0) == int(middle * 8 // len(rows)), v
+
+
 def test_odd_rows(spark):
     d = odd_columns(documents(spark, ODD))
     rows = H.assign(d).collect()
