@@ -93,7 +93,8 @@ def free_seconds(stones: DataFrame) -> DataFrame:
 def resolve_prefixes(commits: DataFrame, prefixes: DataFrame) -> DataFrame:
     """(prefix, status, commit): found for one commit that starts with the prefix, else unknown or ambiguous.
 
-    Joined on the first eight characters where prefixes have them; shorter ones are expanded no further than needed.
+    Commits are cut to each length that a prefix has, and joined by equality; what no prefix names is dropped before it is
+    counted.
     """
     lengths = [r[0] for r in prefixes.select(F.length("prefix")).distinct().orderBy(F.length("prefix")).collect()]
     heads = commits.select("commit", F.explode(F.array(*[F.substring("commit", 1, n) for n in lengths])).alias("prefix")) if lengths else commits.select("commit", F.lit("").alias("prefix"))

@@ -64,12 +64,15 @@ def merge(base: DataFrame, ours: DataFrame, theirs: DataFrame, resolve: str = "r
 
 
 def names_for_both(paths: DataFrame, merged: DataFrame, source: str) -> DataFrame:
-    """(at, new): a free path beside each of paths(at) for the other side's copy."""
+    """(at, new): the first free path beside each of paths(at) for the other side's copy: of n + 1 names, n that are taken
+    leave one, so as many are tried as the folder has names that begin like the copy's."""
     folder, file = S.parent(F.col("at")), S.name(F.col("at"))
     full = lambda n: F.concat(F.when(folder == "", "").otherwise(F.concat(folder, F.lit("/"))), S.both_name(file, F.lit(source), n))
-    taken = merged.groupBy(S.parent(F.col("path")).alias("folder")).agg(F.count("*").alias("names"))
-    tries = paths.withColumn("folder", folder).join(taken, "folder", "left").withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.coalesce("names", F.lit(0)), F.lit(98)).cast("int") + 1)))
-    tries = tries.withColumn("new", full(F.col("n")))
+    stem = F.concat(F.when(F.col("at").contains("/"), F.concat(folder, F.lit("/"))).otherwise(""), F.regexp_extract(file, r"(?s)^(.[^.]*)", 1))
+    like = merged.select(F.col("path").alias("there"), S.parent(F.col("path")).alias("folder"))
+    tries = paths.withColumn("folder", folder).withColumn("stem", stem)
+    taken = tries.join(like, "folder").where(F.col("there").startswith(F.col("stem"))).groupBy("at").agg(F.count("*").alias("names"))
+    tries = tries.join(taken, "at", "left").withColumn("n", F.explode(F.sequence(F.lit(1), F.coalesce("names", F.lit(0)).cast("int") + 1))).withColumn("new", full(F.col("n")))
     free = tries.join(merged.select(F.col("path").alias("new")), "new", "left_anti")
     return free.groupBy("at").agg(F.min_by("new", "n").alias("new"))
 

@@ -18,8 +18,9 @@ def edges(commits: DataFrame, entries: DataFrame) -> DataFrame:
     return commits.select(F.col("commit").alias("src"), F.col("root").alias("dst"), F.lit("root").alias("kind")).unionByName(down).distinct()
 
 
-def mark(roots: DataFrame, graph: DataFrame, most: int = 1000) -> DataFrame:
-    """ids reachable from roots(id), level by level; each id is visited once, and leaves are listed but not expanded.
+def mark(roots: DataFrame, graph: DataFrame) -> DataFrame:
+    """ids reachable from roots(id), level by level, until a level has nothing new; each id is visited once, so a graph with
+    cycles ends too, and leaves are listed but not expanded.
 
     A level is written to the checkpoint folder, so plans stay short and a lost executor costs no earlier level.
     """
@@ -28,12 +29,11 @@ def mark(roots: DataFrame, graph: DataFrame, most: int = 1000) -> DataFrame:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     links = graph.select("src", "dst")
     live = frontier = roots.select("id").distinct().checkpoint()
-    for _ in range(most):
+    while True:
         frontier = frontier.join(links, frontier["id"] == links["src"]).select(F.col("dst").alias("id")).distinct().join(live, "id", "left_anti").checkpoint()
         if frontier.isEmpty():
-            break
+            return live
         live = live.unionByName(frontier)
-    return live
 
 
 def gc_roots(log: DataFrame, refs: DataFrame, snapshots: DataFrame, stones: DataFrame, mounts: DataFrame, now_secs: int, ttl_secs: int, mount_ttl_secs: int) -> DataFrame:

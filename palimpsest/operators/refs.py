@@ -147,7 +147,7 @@ class Refs:
         d, s = self.branch(dst), self.branch(src)
         return self.swap(dst, d, replace(d, head=commit, log=(*d.log, commit), merge_bases={**d.merge_bases, s.id: s.head}))
 
-    def publish(self, name: str, seen: Ref, commit: str, host: str, tries: int = 100) -> str:
+    def publish(self, name: str, seen: Ref, commit: str, host: str, now: int, tries: int = 100) -> str:
         """Commits on top of `seen`; if the branch has moved on, forks to <name>.<host>, then with -2, -3, ..."""
         if self.branches.get(name) is seen:
             self.commit(name, commit)
@@ -156,7 +156,7 @@ class Refs:
         for n in range(1, tries + 1):
             other = f"{name}.{clean}" + (f"-{n}" if n > 1 else "")
             if other not in self.branches:
-                self.branches[other] = Ref(other, commit, (*seen.log, commit), dict(seen.merge_bases), (seen.id, seen.head, 0))
+                self.branches[other] = Ref(other, commit, (*seen.log, commit), dict(seen.merge_bases), (seen.id, seen.head, now))
                 return other
         raise RefError(f"no free name for {name}")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..session import cut
 
 BUCKET = 3
 COLUMNS = ("path", "kind", "mode", "mtime_ns", "size", "content_id", "file_id")
@@ -42,17 +43,20 @@ def tree_ids(children: DataFrame) -> DataFrame:
 def build(entries: DataFrame, dir_mode: int = 0o755) -> DataFrame:
     """entries and the directories above them, whose content_id is the tree id.
 
-    One step for each level, from the deepest up; a level's rows are only what is below its directories.
+    One step for each level, from the deepest up; a level's rows are only what is below its directories. Entries are
+    computed (and files hashed) once, and each level is written once.
     """
-    levels = entries.agg(F.max(S.depth(F.col("path")))).first()[0] or 0
-    built = [entries.select(*COLUMNS)]
+    rows = cut(entries.select(*COLUMNS, S.depth(F.col("path")).alias("level")), "entries")
+    levels = rows.agg(F.max("level")).first()[0] or 0
+    built = [rows.drop("level")]
     above = None
     for level in range(levels, 0, -1):
-        at = entries.where(S.depth(F.col("path")) == level).select(*COLUMNS)
+        at = rows.where(F.col("level") == level).drop("level")
         at = at if above is None else at.unionByName(above)
         above = tree_ids(at).select(
             "path", F.lit("dir").alias("kind"), F.lit(dir_mode).alias("mode"), F.lit(0).cast("long").alias("mtime_ns"), F.lit(0).cast("long").alias("size"), "content_id", S.file_id(F.col("path")).alias("file_id"),
         )
+        above = cut(above, "level") if level > 1 else above
         built.append(above)
     return reduce(DataFrame.unionByName, built)
 
@@ -76,17 +80,22 @@ def ls(entries: DataFrame, path: str = "") -> DataFrame:
     return entries.where(inside | itself).withColumn("name", S.name(F.col("path"))).orderBy("name")
 
 
-def flatten(trees: DataFrame, root: str, at_most: int = 100) -> DataFrame:
-    """(path, kind, ref_id) of all entries below the tree `root`, level by level, from trees(tree_id, name, kind, ref_id)."""
+def flatten(trees: DataFrame, root: str) -> DataFrame:
+    """(path, kind, ref_id) of all entries below the tree `root`, level by level, from trees(tree_id, name, kind, ref_id).
+
+    Levels go on until one has no directory. A tree that contains itself has no end: there can't be more levels than
+    trees, so one more is an error.
+    """
+    most = trees.select("tree_id").distinct().count()
     level = trees.where(F.col("tree_id") == root).select(F.col("name").alias("path"), "kind", "ref_id")
     out = [level]
-    for _ in range(at_most):
+    for _ in range(most + 1):
         dirs = level.where("kind = 'dir'").select(F.col("path").alias("above"), F.col("ref_id").alias("tree_id"))
-        level = dirs.join(trees, "tree_id").select(F.concat_ws("/", "above", "name").alias("path"), "kind", "ref_id")
+        level = cut(dirs.join(trees, "tree_id").select(F.concat_ws("/", "above", "name").alias("path"), "kind", "ref_id"), "level")
         if level.isEmpty():
-            break
+            return reduce(DataFrame.unionByName, out)
         out.append(level)
-    return reduce(DataFrame.unionByName, out)
+    raise ValueError(f"tree {root} contains itself")
 
 
 def same(a: str, b: str) -> Column:

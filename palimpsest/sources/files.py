@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +27,7 @@ def import_dir(spark: SparkSession, path: str) -> DataFrame:
         raw = raw.unionByName(none.select("path", "content", F.timestamp_millis("ms").alias("modificationTime")))
     root = "/".join(p for p in path.split("://")[-1].split("/") if p)
     inside = F.regexp_replace(F.col("path"), r"^[a-z0-9]+:/*", "")
-    return raw.select(F.substring(inside, len(root) + 2, 4096).alias("path"), "content", F.lit(0o644).alias("mode"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"))
+    return raw.select(F.substr(inside, F.lit(len(root) + 2)).alias("path"), "content", F.lit(0o644).alias("mode"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"))
 
 
 def workspace(documents: DataFrame) -> DataFrame:
@@ -39,25 +38,43 @@ def workspace(documents: DataFrame) -> DataFrame:
 
 
 def export_dir(files: DataFrame, folder: str) -> DataFrame:
-    """Writes files(path, data) below a folder that all executors share, and gives (path, bytes) of what was written.
+    """Writes files(path, data, and mode and mtime_ns if there) below a local or mounted folder that all executors share,
+    and gives (path, bytes) of what was written.
 
-    A folder that holds anything is refused. Each task writes its own rows, a file under another name first.
+    A folder that holds anything is refused, as is a path that is absolute or has an empty, `.` or `..` segment: nothing is
+    written outside the folder. Each task writes its own rows, a file under another name first.
     """
-    if os.path.isdir(folder) and os.listdir(folder):
+    import os
+
+    from ..functions import scalars as S
+
+    spark = files.sparkSession
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder if "://" in folder else f"file://{folder}")
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(top) and len(fs.listStatus(top)):
         raise ValueError(f"{folder} is not empty")
+    bad = files.where(~F.forall(F.split("path", "/"), S.valid_entry_name)).select("path").first()
+    if bad:
+        raise ValueError(f"not a path below a folder: {bad.path!r}")
+    base = folder.removeprefix("file://")
+    extra = [c for c in ("mode", "mtime_ns") if c in files.columns]
 
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
             sizes = []
-            for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                to = os.path.join(folder, path)
+            for row in b.to_pylist():
+                to = os.path.join(base, row["path"])
                 os.makedirs(os.path.dirname(to), exist_ok=True)
                 with open(f"{to}.part", "wb") as f:
-                    f.write(data)
+                    f.write(row["data"] or b"")
+                if row.get("mode") is not None:
+                    os.chmod(f"{to}.part", row["mode"])
+                if row.get("mtime_ns") is not None:
+                    os.utime(f"{to}.part", ns=(row["mtime_ns"], row["mtime_ns"]))
                 os.replace(f"{to}.part", to)
-                sizes.append(len(data))
+                sizes.append(len(row["data"] or b""))
             yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64())], names=["path", "bytes"])
 
-    return files.select("path", "data").mapInArrow(run, "path string, bytes long")
+    return files.select("path", "data", *extra).mapInArrow(run, "path string, bytes long")

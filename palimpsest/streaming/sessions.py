@@ -83,13 +83,27 @@ def stream_commits(writes: DataFrame, quiet_s: int = QUIET_S, dirty_s: int = DIR
 
 
 def follow(spark: SparkSession, root: str, *names: str) -> DataFrame:
-    """A stream of (name, head, number) of the branches of a repository, from each state that is written to it; each new
-    head of a branch comes once."""
+    """A stream of (name, head, number) of the branches of a repository, from each state that is written to it: a row
+    whenever a branch's head is another than in the state before, so a head that comes back is told again. One head and
+    number is kept for each name; states that arrive after a later one of the name are passed over."""
     states = spark.readStream.format("text").option("wholetext", "true").option("pathGlobFilter", "*.json").load(f"{root}/state")
     number = F.regexp_extract(F.input_file_name(), r"(\d+)\.json$", 1).cast("long")
     branches = F.from_json("value", "branches map<string, struct<head: string>>")["branches"]
     out = states.select(number.alias("number"), F.explode(F.map_entries(branches)).alias("b")).select(F.col("b.key").alias("name"), F.col("b.value.head").alias("head"), "number")
-    return (out.where(F.col("name").isin(*names)) if names else out).dropDuplicates(["name", "head"])
+    out = out.where(F.col("name").isin(*names)) if names else out
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        head, last = state.get if state.exists else (None, -1)
+        told = []
+        for number, now in sorted((int(n), h) for b in batches for n, h in zip(b["number"], b["head"], strict=True)):
+            if number > last:
+                if now != head:
+                    told.append((key[0], now, number))
+                head, last = now, number
+        state.update((head, last))
+        yield pd.DataFrame(told, columns=["name", "head", "number"]).astype({"number": "int64"})
+
+    return out.groupBy("name").applyInPandasWithState(update, "name string, head string, number long", "head string, number long", "append", GroupStateTimeout.NoTimeout)
 
 
 def publish_once(batch: DataFrame, batch_id: int, folder: str) -> bool:

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.sources.files import export_dir, import_dir
@@ -39,3 +40,13 @@ def test_export_and_import(spark, tmp_path):
     assert {(r.path, r.bytes) for r in export_dir(f, to).collect()} == {("a/b.txt", 3), ("c", 0)}
     back = import_dir(spark, f"file://{to}").select("path", F.decode("content", "UTF-8").alias("t"))
     assert {tuple(r) for r in back.collect()} == {("a/b.txt", "one"), ("c", "")}
+
+
+def test_export_stays_below_its_folder(spark, tmp_path):
+    for n, path in enumerate(("../out", "/etc/x", "a/../../b", "a//b", "./a")):
+        with pytest.raises(ValueError, match="not a path"):
+            export_dir(spark.createDataFrame([(path, bytearray(b"x"))], "path string, data binary"), str(tmp_path / f"to{n}"))
+    f = spark.createDataFrame([("k/run", bytearray(b"1"), 0o755, 5 * 10**9)], "path string, data binary, mode int, mtime_ns long")
+    export_dir(f, str(tmp_path / "ok")).collect()
+    got = (tmp_path / "ok" / "k" / "run").stat()
+    assert (got.st_mode & 0o777, got.st_mtime_ns) == (0o755, 5 * 10**9)

@@ -161,15 +161,15 @@ def named(spark, mtime=0, **content):
     return T.build(T.file_entries(df))
 
 
-def test_written_out_merge(spark):
-    base = named(spark, a_txt="a", b_txt="b", gone_txt="g", dir__x="x")
-    ours = named(spark, 1, a_txt="A", b_txt="b", gone_txt="g", dir__x="x")
-    theirs = named(spark, 2, a_txt="a", b_txt="B", dir__x="x", dir__y="y")
-    assert {tuple(r) for r in M.outcome(base, ours, theirs).collect()} == {(p, "taken") for p in ("b.txt", "dir/y", "gone.txt")}
-    assert {r.path for r in M.merge(base, ours, theirs).collect() if r.kind == "file"} == {"a.txt", "b.txt", "dir/x", "dir/y"}
-    # A directory that ours has not touched at all, times included, is taken whole.
-    ours = named(spark, a_txt="A", b_txt="b", gone_txt="g", dir__x="x")
-    assert {tuple(r) for r in M.outcome(base, ours, theirs).collect()} == {(p, "taken") for p in ("b.txt", "dir", "gone.txt")}
+def test_directories_taken_whole_or_not(spark):
+    """Theirs rewrites one of two modules and drops a script; ours edits the other module, or the readme only."""
+    base = named(spark, lib__io_py="io", lib__net_py="net", run_sh="run", readme="r")
+    theirs = named(spark, 5, lib__io_py="IO", lib__net_py="net", lib__gpu_py="gpu", readme="r")
+    ours = named(spark, 3, lib__io_py="io", lib__net_py="NET", run_sh="run", readme="r")
+    assert {tuple(r) for r in M.outcome(base, ours, theirs).collect()} == {(p, "taken") for p in ("lib/io.py", "lib/gpu.py", "run.sh")}
+    assert {r.path for r in M.merge(base, ours, theirs).collect() if r.kind == "file"} == {"lib/io.py", "lib/net.py", "lib/gpu.py", "readme"}
+    ours = named(spark, lib__io_py="io", lib__net_py="net", run_sh="run", readme="R")
+    assert {tuple(r) for r in M.outcome(base, ours, theirs).collect()} == {(p, "taken") for p in ("lib", "run.sh")}
 
 
 def test_change_beats_deletion(spark):
@@ -187,6 +187,13 @@ def test_keep_both(spark):
     assert "a.feature-2.txt" in {r.path for r in M.merge(base, ours, theirs, "both", "feature").collect()}
 
 
+def test_keep_both_with_many_names_taken(spark):
+    base, ours, theirs = (named(spark, n_md=x) for x in ("b", "o", "t"))
+    taken = {"n_side_md": "1"} | {f"n_side-{i}_md": "1" for i in range(2, 112)}
+    ours = named(spark, n_md="o", **taken)
+    assert "n.side-112.md" in {r.path for r in M.merge(base, ours, theirs, "both", "side").collect()}
+
+
 def test_update_conflicts(spark):
     base = named(spark, a_txt="a", dir__b_txt="b", dir__c_txt="c")
     here = named(spark, a_txt="a", dir__b_txt="b", dir__c_txt="C", local_txt="l")
