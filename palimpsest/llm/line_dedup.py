@@ -134,7 +134,8 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     gone = cut(repeats(docs, min_chars, min_docs, high), "repeats").select(F.col("doc_id").alias("id"), "keys")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     filled = seen_bits(gone.select("id"), log2_bits_for(gone.count(), 12, high=high))
-    j = _affected(d, filled, True).join(gone, F.col("doc_id").eqNullSafe(F.col("id")), "left").select("doc_id", "text", "keys.hi", "keys.lo")
+    # By a shuffle at every size: what is lost grows with the input, and is no table to send to all.
+    j = _affected(d, filled, True).join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")), "left").select("doc_id", "text", "keys.hi", "keys.lo")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
