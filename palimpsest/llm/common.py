@@ -166,7 +166,8 @@ def seen_bits(hashes: DataFrame, log2_bits: int, k: int = 2, twice: bool = False
 
     parts = arrow(hashes, part, "at long, once binary, again binary")
     out = np.zeros(bits // 8, np.uint8)
-    for r in arrow(parts.repartition("at"), merge, "at long, bits binary").toLocalIterator():
+    # One job for all segments: an iterator over partitions would run a job for each of them, one after another.
+    for r in arrow(parts.repartition("at"), merge, "at long, bits binary").collect():
         piece = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
         out[r["at"] : r["at"] + len(piece)] = piece
     return out
