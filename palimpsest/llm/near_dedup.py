@@ -251,8 +251,9 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     group = F.coalesce(F.col("root").cast("string"), F.col("__key")).alias("group")
     rows = _grouped(own.select("doc_id", "__key", "text"), k, percent).groupBy(group, "__key").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
     rows = cut(rows, "rows")
-    first = rows.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "__key")).alias("first"), F.sum("n").alias("all")).where("all > 1")
-    marks = cut(rows.join(first, "group").select("__key", (F.col("__key") != F.col("first.__key")).alias("gone"), "n").where("gone or n > 1"), "marks")
+    # A key stands in one group, so rows meet the first of their group by key: a group of any size is spread evenly.
+    first = rows.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "__key")).alias("first")).select("first.__key", F.lit(True).alias("stays"))
+    marks = cut(rows.join(first, "__key", "left").select("__key", F.col("stays").isNull().alias("gone"), "n").where("gone or n > 1"), "marks")
     left = keyed(docs, "doc_id").join(marks.where("gone").select("__key"), "__key", "left_anti")
     again = marks.where("not gone").select("__key")
     if not again.isEmpty():
