@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
-from .operators import cache, chunking, diff, history, merge, overlay, reach, refs, tree
+from .operators import cache, chunking, diff, edits, history, merge, overlay, reach, refs, tree
 from .plans import versions as V
 from .plans.repository import Repository
 from .plans.versions import hashed, table
@@ -769,3 +769,122 @@ def repository_merge(spark: SparkSession, sf: str) -> DataFrame:
     repo.import_files(data("theirs"), "feature", 130)
     repo.merge("main", "feature", 140, resolve="ours")
     return repo.entries("main").where("kind = 'file'").select("path", "mode", "content_id")
+
+
+# ---------------------------------------------------------------- edits, mounts, schedules
+
+_AT = "lang || '/' || source || '/' || doc_id"
+#: Requests of all kinds on paths that exist and that don't, the same expressions for both engines.
+_REQUESTS = [
+    "doc_id AS request",
+    "CASE doc_id % 9 WHEN 0 THEN 'create' WHEN 1 THEN 'mkdir' WHEN 2 THEN 'symlink' WHEN 3 THEN 'unlink' WHEN 4 THEN 'rmdir' WHEN 5 THEN 'truncate' WHEN 6 THEN 'readlink' ELSE 'rename' END AS op",
+    f"""CASE WHEN doc_id % 37 = 0 THEN lang || '/..' WHEN doc_id % 41 = 0 THEN lang || '/' || repeat('x', 300) WHEN doc_id % 29 = 0 THEN {_AT} || '.txt/below'
+      WHEN doc_id % 5 = 1 THEN lang || '/' || source WHEN doc_id % 5 = 2 THEN lang || '/none/' || doc_id WHEN doc_id % 5 = 3 THEN {_AT} || '.new' ELSE {_AT} || '.txt' END AS path""",
+    f"""CASE WHEN doc_id % 31 = 0 THEN '' WHEN doc_id % 4 = 0 THEN lang || '/' || source || '/' || (doc_id + 1) || '.txt' WHEN doc_id % 4 = 1 THEN lang || '/' || source
+      WHEN doc_id % 4 = 2 THEN lang || '/moved' || doc_id ELSE lang || '/' || source || '/sub' || doc_id END AS "to" """,
+    "doc_id % 3 = 0 AS no_replace",
+]
+_LINKED = f"SELECT path, kind FROM base UNION ALL SELECT {_AT} || '.txt', 'symlink' FROM documents WHERE doc_id % 33 = 0"
+
+
+def _requests(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").selectExpr(*(x.replace('"', "`") for x in _REQUESTS))
+
+
+def _linked(spark: SparkSession, sf: str) -> DataFrame:
+    links = table(spark, sf, "documents").where("doc_id % 33 = 0").selectExpr(f"{_AT} || '.txt' AS path", "'symlink' AS kind")
+    return V.entries(spark, sf, "base").select("path", "kind").unionByName(links)
+
+
+_UP = "regexp_replace({0}, '(^|/)[^/]*$', '')"
+_BAD = "CASE WHEN strlen(string_split({0}, '/')[-1]) > 255 THEN 'too_long' WHEN string_split({0}, '/')[-1] IN ('', '.', '..') THEN 'invalid' END"
+_NO_DIR = "CASE WHEN {0} IS NULL THEN 'missing' WHEN {0} <> 'dir' THEN 'not_dir' END"
+
+
+@query(
+    "q40_edit_requests",
+    f"""{V.with_entries("base")}, e AS ({_LINKED}), r AS (SELECT {", ".join(_REQUESTS)} FROM documents), held AS (SELECT DISTINCT {_UP.format("path")} AS path FROM e WHERE path <> ''),
+    k AS (SELECT r.*, a.kind AS self, u.kind AS up, o.kind AS onto, v.kind AS over, r.path IN (SELECT path FROM held) AS self_full, r."to" IN (SELECT path FROM held) AS onto_full
+      FROM r LEFT JOIN e a ON a.path = r.path LEFT JOIN e u ON u.path = {_UP.format("r.path")} LEFT JOIN e o ON o.path = r."to" LEFT JOIN e v ON v.path = {_UP.format('r."to"')})
+    SELECT request, op, path, "to", no_replace, coalesce(CASE
+      WHEN op IN ('create', 'mkdir', 'symlink') THEN coalesce(CASE WHEN op = 'symlink' AND "to" = '' THEN 'invalid' END, {_BAD.format("path")}, {_NO_DIR.format("up")}, CASE WHEN self IS NOT NULL THEN 'exists' END)
+      WHEN op = 'rename' AND {_BAD.format('"to"')} IS NOT NULL THEN {_BAD.format('"to"')}
+      WHEN self IS NULL THEN 'missing'
+      WHEN op = 'unlink' AND self = 'dir' THEN 'is_dir'
+      WHEN op = 'rmdir' AND self <> 'dir' THEN 'not_dir' WHEN op = 'rmdir' AND self_full THEN 'not_empty'
+      WHEN op = 'truncate' AND self = 'dir' THEN 'is_dir' WHEN op = 'truncate' AND self = 'symlink' THEN 'invalid'
+      WHEN op = 'readlink' AND self <> 'symlink' THEN 'invalid'
+      WHEN op = 'rename' THEN coalesce({_NO_DIR.format("over")}, CASE WHEN "to" = path THEN 'ok' WHEN starts_with("to", path || '/') THEN 'invalid' WHEN onto IS NOT NULL AND no_replace THEN 'exists'
+        WHEN self = 'dir' AND onto <> 'dir' THEN 'not_dir' WHEN self <> 'dir' AND onto = 'dir' THEN 'is_dir' WHEN onto = 'dir' AND onto_full THEN 'not_empty' END) END, 'ok') AS result FROM k""",
+)
+def edit_requests(spark: SparkSession, sf: str) -> DataFrame:
+    return edits.judge(_linked(spark, sf), _requests(spark, sf))
+
+
+@query(
+    "q40_edit_rename",
+    f"""{V.with_entries("base")} SELECT CASE WHEN path = 'en/src1' OR starts_with(path, 'en/src1/') THEN 'en/moved' || substr(path, 8) WHEN path = 'de/src2' OR starts_with(path, 'de/src2/') THEN 'fr/src2b' || substr(path, 8) ELSE path END AS path, kind, content_id FROM base""",
+)
+def edit_rename(spark: SparkSession, sf: str) -> DataFrame:
+    moves = spark.createDataFrame([("en/src1", "en/moved"), ("de/src2", "fr/src2b")], "path string, to string")
+    return edits.rename(V.entries(spark, sf, "base").select("path", "kind", "content_id"), moves)
+
+
+@query("q40_edit_touched", """SELECT DISTINCT unnest(['', lang, lang || '/' || source, lang || '/' || source || '/' || doc_id || '.txt']) AS path FROM documents WHERE doc_id % 7 = 2""")
+def edit_touched(spark: SparkSession, sf: str) -> DataFrame:
+    return edits.touched(table(spark, sf, "documents").where("doc_id % 7 = 2").selectExpr(f"{_AT} || '.txt' AS path"))
+
+
+@query(
+    "q41_status",
+    f"""{V.with_entries("base", "ours")}, changed AS (SELECT o.path FROM ours o LEFT JOIN base b ON b.path = o.path WHERE o.kind <> 'dir' AND (b.path IS NULL OR b.kind <> o.kind OR b.mode <> o.mode OR b.mtime_ns <> o.mtime_ns OR b.content_id <> o.content_id)),
+    hidden AS (SELECT path FROM base WHERE path NOT IN (SELECT path FROM ours) AND {_UP.format("path")} IN (SELECT path FROM ours))
+    SELECT (SELECT count(*) FROM changed) + (SELECT count(*) FROM hidden) AS dirty_files, (SELECT count(*) FROM orders WHERE o_orderkey % 50 = 0) AS unpushed, (SELECT min(o_orderkey)::BIGINT * 1000 FROM orders WHERE o_orderkey % 50 = 0) AS oldest_unpushed_ns""",
+)
+def mount_status(spark: SparkSession, sf: str) -> DataFrame:
+    base, ours = _sides(spark, sf, "base", "ours")
+    changed = ours.join(diff.changed_entries(base, ours), "path", "left_semi")
+    pending = table(spark, sf, "orders").where("o_orderkey % 50 = 0").select((F.col("o_orderkey").cast("long") * 1000).alias("time_ns"))
+    return edits.status(changed, edits.whiteouts(base, ours), pending)
+
+
+@query(
+    "q41_behind",
+    """SELECT s_suppkey AS mount, CASE WHEN s_suppkey % 6 = 0 THEN false WHEN s_nationkey % 5 = 4 THEN true ELSE s_suppkey % 3 <> s_nationkey % 3 END AS behind FROM supplier""",
+)
+def mounts_behind(spark: SparkSession, sf: str) -> DataFrame:
+    mounts = table(spark, sf, "supplier").selectExpr("s_suppkey AS mount", "CASE WHEN s_suppkey % 6 <> 0 THEN s_nationkey END AS branch", "s_suppkey % 3 AS seen")
+    return edits.behind(mounts, table(spark, sf, "nation").where("n_nationkey % 5 <> 4").selectExpr("n_nationkey AS branch", "n_nationkey % 3 AS head"))
+
+
+@query(
+    "q33_block_covered",
+    """WITH r AS (SELECT l_partkey AS id, (l_quantity::BIGINT * 30000 + l_linenumber * 65536) AS start, (l_quantity::BIGINT * 30000 + l_linenumber * 65536 + l_partkey * 7) AS stop, 2000000 + l_partkey * 11 AS len FROM lineitem),
+    d AS (SELECT DISTINCT id, range AS k FROM r, range(0, 64) WHERE start < least(stop, len) AND range BETWEEN start // 65536 AND (least(stop, len) - 1) // 65536),
+    a AS (SELECT l_orderkey * 10 + l_linenumber AS ask, l_partkey AS id, l_quantity::BIGINT * 30000 + l_linenumber * 65536 AS start, l_quantity::BIGINT * 30000 + l_linenumber * 65536 + (l_orderkey % 3) * 40000 AS stop FROM lineitem WHERE l_orderkey % 4 = 1),
+    n AS (SELECT ask, id, start, range AS k FROM a, range(0, 64) WHERE start < stop AND range BETWEEN start // 65536 AND (least(stop, 2000000 + id * 11) - 1) // 65536)
+    SELECT ask, id, (ask, id, start) NOT IN (SELECT (ask, id, start) FROM n WHERE (id, k) NOT IN (SELECT (id, k) FROM d)) AS hit FROM a""",
+)
+def block_covered(spark: SparkSession, sf: str) -> DataFrame:
+    start = F.col("l_quantity").cast("long") * 30000 + F.col("l_linenumber").cast("long") * 65536
+    asks = table(spark, sf, "lineitem").where("l_orderkey % 4 = 1").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ask"), F.col("l_partkey").alias("id"), start.alias("start"), (start + F.col("l_orderkey") % 3 * 40000).alias("stop"), (2000000 + F.col("l_partkey") * 11).alias("len")
+    )
+    return cache.covered(asks, block_bitmap(spark, sf))
+
+
+@query("q31_conflict_message", f"""WITH c AS (SELECT * FROM ({ORACLES["q31_update_conflicts"]}) ORDER BY path LIMIT 6)
+    SELECT (SELECT string_agg(path, ', ' ORDER BY path) FROM (SELECT path FROM c ORDER BY path LIMIT 5)) || CASE WHEN (SELECT count(*) FROM c) > 5 THEN ', ...' ELSE '' END AS shown""")
+def conflict_message(spark: SparkSession, sf: str) -> DataFrame:
+    return diff.message(update_conflicts(spark, sf))
+
+
+@query("q36_synthetic_ids", """WITH h AS (SELECT doc_id, sha256((doc_id % 7) || '/' || doc_id || '.txt')[1:16] AS h FROM documents) SELECT doc_id, ('0x' || translate(h[1], '01234567', '89abcdef') || h[2:])::UBIGINT::VARCHAR AS ino FROM h""")
+def synthetic_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", S.synthetic_id(F.col("doc_id") % 7, F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("ino"))
+
+
+@query("q18_gc_due", "SELECT o_custkey AS repository, 800000000 - max(epoch(o_orderdate))::BIGINT > 86400 AS due FROM orders GROUP BY 1")
+def gc_due(spark: SparkSession, sf: str) -> DataFrame:
+    runs = table(spark, sf, "orders").select(F.col("o_custkey").alias("repository"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("finished"))
+    return reach.gc_due(runs, 800_000_000)

@@ -32,6 +32,12 @@ def file_id(path: Column) -> Column:
     return F.pmod(F.xxhash64(path), F.lit((1 << 63) - (1 << 32))) + F.lit(1 << 32)
 
 
+def synthetic_id(parent: Column, name: Column) -> Column:
+    """An unsigned number of 64 bits, the highest set, in decimal digits: for entries without a file id."""
+    h = F.substring(F.sha2(F.concat(parent.cast("string"), F.lit("/"), name), 256), 1, 16)
+    return F.conv(F.concat(F.translate(F.substring(h, 1, 1), "01234567", "89abcdef"), F.substring(h, 2, 15)), 16, 10)
+
+
 def parent(path: Column) -> Column:
     """Directory of a path; the root's and a top entry's is the empty path."""
     return F.regexp_replace(path, "(^|/)[^/]*$", "")

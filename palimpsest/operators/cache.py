@@ -32,3 +32,10 @@ def coverage(ranges: DataFrame) -> DataFrame:
     b = ranges.withColumn("b", S.blocks_of(F.col("start"), F.least("stop", "len")))
     g = b.groupBy("id").agg(F.bit_or("b").alias("blocks"), F.max("len").alias("len"))
     return g.select("id", "blocks", S.present_bytes(F.col("blocks"), F.col("len")).alias("present"))
+
+
+def covered(asks: DataFrame, held: DataFrame) -> DataFrame:
+    """asks(ask, id, start, stop, len) with hit: whether all blocks that the range touches are in held(id, blocks)."""
+    need = S.blocks_of(F.col("start"), F.least("stop", "len"))
+    j = asks.join(held.select("id", "blocks"), "id", "left")
+    return j.select("ask", "id", F.coalesce(F.col("blocks").bitwiseAND(need) == need, F.lit(False)).alias("hit"))

@@ -67,3 +67,9 @@ def update_conflicts(base: DataFrame, here: DataFrame, there: DataFrame) -> Data
     at = theirs.withColumn("at", F.explode(S.ancestors(F.col("path"))))
     hit = at.join(local.select(F.col("path").alias("at"), F.lit(False).alias("deep")).unionByName(gone.select(F.col("path").alias("at"), F.lit(True).alias("deep"))), "at")
     return hit.where("deep or at = path").select("path").distinct()
+
+
+def message(conflicts: DataFrame, most: int = 5) -> DataFrame:
+    """One row, shown: the first paths of conflicts(path), and three dots if there are more than `most`."""
+    few = conflicts.select("path").orderBy("path").limit(most + 1).agg(F.sort_array(F.collect_list("path")).alias("p"))
+    return few.select(F.concat(F.array_join(F.slice("p", 1, most), ", "), F.when(F.size("p") > most, ", ...").otherwise("")).alias("shown"))

@@ -113,3 +113,9 @@ def invalid_entries(entries: DataFrame, inline_max: int = S.INLINE_MAX) -> DataF
     }
     broken = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(True)), F.lit(k)) for k, c in rules.items()]), lambda x: x.isNotNull())
     return entries.select("path", F.explode(broken).alias("rule"))
+
+
+def gc_due(runs: DataFrame, now: int, every: int = 86_400) -> DataFrame:
+    """runs(repository, finished) with due: whether the last run ended more than `every` seconds ago, or there was none."""
+    last = runs.groupBy("repository").agg(F.max("finished").alias("last"))
+    return last.select("repository", F.coalesce(now - F.col("last") > every, F.lit(True)).alias("due"))
