@@ -450,9 +450,9 @@ def resolve_prefix(spark: SparkSession, sf: str) -> DataFrame:
 def chunk_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("data"))
     c = chunking.chunk(d, 64, 256, 1024)
-    last = c.groupBy("path").agg(F.max("idx").alias("last"), F.sum("len").alias("size"))
-    ok = c.join(last, "path").groupBy("path").agg(F.min(((F.col("len") >= 64) | (F.col("idx") == F.col("last"))) & (F.col("len") <= 1024)).alias("bounded"))
-    return chunking.reassemble(c).select("path", F.octet_length("data").cast("long").alias("size"), F.sha2("data", 256).alias("sha")).join(ok, "path")
+    short = F.max(F.when(F.col("len") < 64, F.col("idx")))
+    bounded = (F.max("len") <= 1024) & (F.coalesce(short, F.max("idx")) == F.max("idx"))
+    return chunking.reassemble(c, bounded.alias("bounded")).select("path", F.octet_length("data").cast("long").alias("size"), F.sha2("data", 256).alias("sha"), "bounded")
 
 
 @query("q24_rechunk_equiv", "SELECT doc_id::VARCHAR AS path, true AS equal, greatest(strlen(text), strlen(text) // 2 + 5)::BIGINT AS size FROM documents WHERE text <> ''")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -54,12 +55,38 @@ class Chunker:
                 return at + int(hit[0]) + 1 if at + int(hit[0]) + 1 < n else n
         return n
 
+    def _candidates(self, view: np.ndarray, step: int = 1 << 20) -> tuple[list[int], list[int]]:
+        """Ends (of the byte that closes a chunk, plus one) where the strict mask holds, and where the loose one does.
+
+        A hash is of the last 64 bytes, so the file is hashed once, in steps that overlap by as many.
+        """
+        strict, loose = [], []
+        for at in range(0, len(view), step):
+            lead = min(at, _REACH)
+            h = _gear(view[at - lead : at + step])[lead:]
+            hit = np.flatnonzero((h & self.loose) == 0)
+            loose.append(hit + at + 1)
+            strict.append(hit[(h[hit] & self.strict) == 0] + at + 1)
+        return tuple(np.concatenate(x).tolist() if x else [] for x in (strict, loose))
+
     def lengths(self, data: bytes) -> list[int]:
-        view, out = np.frombuffer(data, np.uint8), []
-        at = 0
+        view, out, at = np.frombuffer(data, np.uint8), [], 0
+        if self.least < _REACH:  # the hash at a cut then depends on where the chunk began
+            while at < len(view):
+                out.append(self.next_cut(view[at : at + self.most]))
+                at += out[-1]
+            return out
+        strict, loose = self._candidates(view)
         while at < len(view):
-            out.append(self.next_cut(view[at : at + self.most]))
-            at += out[-1]
+            n = min(len(view) - at, self.most)
+            mean = min(self.mean, n)
+            i, j = bisect_right(strict, at + self.least), bisect_right(loose, at + mean)
+            if n > self.least and i < len(strict) and strict[i] <= at + mean:
+                n = strict[i] - at
+            elif n > self.least and j < len(loose):
+                n = min(n, loose[j] - at)
+            out.append(n)
+            at += n
         return out
 
     def rechunk(self, base: list[int], base_size: int, merged: bytes, regions: list[tuple[int, int]]) -> tuple[list[int], int]:
@@ -154,10 +181,10 @@ def rechunk(edits: DataFrame, least: int, mean: int, most: int) -> DataFrame:
     return _arrow(edits.select("path", "base", "at", "patch"), run, "path string, equal boolean, chunks long, reread long, size long")
 
 
-def reassemble(chunks: DataFrame) -> DataFrame:
-    """(path, data) of chunks(path, idx, data), joined in order."""
+def reassemble(chunks: DataFrame, *more: Column) -> DataFrame:
+    """(path, data, ...) of chunks(path, idx, data), joined in order, with more aggregates of the same chunks."""
     parts = F.array_sort(F.collect_list(F.struct("idx", F.hex("data").alias("h"))))
-    return chunks.groupBy("path").agg(F.unhex(F.array_join(F.transform(parts, lambda x: x["h"]), "")).alias("data"))
+    return chunks.groupBy("path").agg(F.unhex(F.array_join(F.transform(parts, lambda x: x["h"]), "")).alias("data"), *more)
 
 
 def paginate(pieces: DataFrame, size: int = PAGE) -> DataFrame:

@@ -79,3 +79,16 @@ def test_packs_and_runs(spark):
     assert [r.run for r in runs(p).orderBy("offset").collect()] == [0, 0, 0, 1]
     assert [r.run for r in runs(p, 20).orderBy("offset").collect()] == [0, 0, 1, 2]
     random.seed(0)
+
+
+def test_candidates_of_a_file_give_the_cuts_of_one_chunk_after_another():
+    rng = np.random.default_rng(5)
+    for sizes in ((64, 256, 1024), (64, 64, 64), (100, 300, 500)):
+        c = Chunker(*sizes)
+        for n in (0, 1, 63, 64, 65, 500, 5000, (1 << 20) - 1, (1 << 20) + 700):
+            view = rng.integers(0, 256 if n % 2 else 3, n, dtype=np.uint8)
+            want, at = [], 0
+            while at < n:
+                want.append(c.next_cut(view[at : at + c.most]))
+                at += want[-1]
+            assert c.lengths(view.tobytes()) == want
