@@ -57,6 +57,18 @@ def test_blocks(spark):
     assert one(spark, S.present_bytes(F.lit(1).cast("long"), F.lit(block + 10).cast("long"))) == block
 
 
+def test_blocks_at_the_end_of_the_bitmap(spark):
+    block = 65536
+    for first, last in [(0, 61), (0, 62), (62, 62), (62, 63), (63, 63), (63, 70), (5, 200), (64, 64), (70, 130)]:
+        r = spark.createDataFrame([(first * block + 7, last * block + 9)], "start long, stop long")
+        got = r.select(S.blocks_of(F.col("start"), F.col("stop"))).first()[0]
+        assert got % (1 << 64) == sum(1 << k for k in range(first, min(last, 63) + 1)), (first, last)
+    # Of 200 blocks the bitmap knows 64, all of them whole; the short last one is not among them.
+    long = F.lit(200 * block + 10).cast("long")
+    assert one(spark, S.present_bytes(F.lit(-1).cast("long"), long)) == 64 * block
+    assert one(spark, S.present_bytes(F.lit(-1).cast("long"), F.lit(63 * block + 10).cast("long"))) == 63 * block + 10
+
+
 def test_eviction_keeps_the_newest(spark):
     rows = [("c", 2, 1000, 1), ("c", 3, 1000, 2), ("c", 1, 1000, 3), ("c", 4, 1000, 4)]
     df = spark.createDataFrame(rows, "cache string, id long, size long, last_access long")
