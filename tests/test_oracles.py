@@ -44,7 +44,7 @@ def test_oracle(spark, con, name):
 
 def far_parts(con, tmp_path):
     """lineitem with keys of parts up to those of 60 times sf0.1, so that ranges end in each block and beyond the last."""
-    rows = "select k * 4 + n as l_orderkey, k * 997 as l_partkey, n::int as l_linenumber, (k % 50 + 1)::double as l_quantity from range(1, 1300) a(k), range(1, 4) b(n)"
+    rows = "select k * 4 + 4 - n as l_orderkey, k * 997 as l_partkey, n::int as l_linenumber, (k % 50 + 1)::double as l_quantity from range(1, 1300) a(k), range(1, 4) b(n)"
     con.execute(f"copy ({rows}) to '{tmp_path}/lineitem.parquet' (format parquet)")
     far = duckdb.connect()
     far.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
@@ -63,3 +63,8 @@ def same_on_far_parts(spark, con, tmp_path, name):
 def test_block_bitmap_of_far_parts(spark, con, tmp_path):
     got = same_on_far_parts(spark, con, tmp_path, "q33_block_bitmap")
     assert min(x[1] for x in got) < 0, "the last block is among them"
+
+
+def test_block_covered_of_far_parts(spark, con, tmp_path):
+    got = same_on_far_parts(spark, con, tmp_path, "q33_block_covered")
+    assert {hit for *_, hit in got} == {True, False}
