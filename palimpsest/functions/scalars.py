@@ -153,17 +153,22 @@ def both_name(file: Column, source: Column, n: Column) -> Column:
     return F.concat(stem, F.lit("."), source, F.when(n > 1, F.concat(F.lit("-"), n.cast("string"))).otherwise(""), ext)
 
 
+def _block_of(at: Column) -> Column:
+    """The block of a byte; 64 for all beyond, as numbers of blocks past 2^31 are no int."""
+    return F.greatest(F.lit(0), F.least(F.lit(64), F.floor(at / BLOCK))).cast("int")
+
+
 def blocks_of(start: Column, end: Column) -> Column:
     """Bitmap of the 64 KiB blocks that [start, end) touches, up to 64 of them; 0 if it is empty."""
-    first, last = F.floor(start / BLOCK).cast("int"), F.floor((end - 1) / BLOCK).cast("int")
+    first, last = _block_of(start), _block_of(end - 1)
     # Ones shifted in from either side: no step subtracts, as 1 << 63 less 1 is beyond a long.
     up_to = F.when(last >= 63, F.lit(-1).cast("long")).otherwise(F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), 63 - last))
     since = F.when(first >= 64, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(-1).cast("long"), first))
-    return F.when(end > start, up_to.bitwiseAND(since)).otherwise(F.lit(0).cast("long"))
+    return F.when((end > start) & (end > 0), up_to.bitwiseAND(since)).otherwise(F.lit(0).cast("long"))
 
 
 def present_bytes(blocks: Column, length: Column) -> Column:
     """Bytes of the blocks in the bitmap; the last block may be short, if it is one of the 64."""
-    last = F.floor((length - 1) / BLOCK).cast("int")
+    last = _block_of(length - 1)
     short = F.when((length > 0) & (length % BLOCK != 0) & (last <= 63) & (F.call_function("shiftright", blocks, last).bitwiseAND(F.lit(1).cast("long")) == 1), BLOCK - length % BLOCK).otherwise(0)
     return F.bit_count(blocks) * BLOCK - short

@@ -68,3 +68,17 @@ def test_block_bitmap_of_far_parts(spark, con, tmp_path):
 def test_block_covered_of_far_parts(spark, con, tmp_path):
     got = same_on_far_parts(spark, con, tmp_path, "q33_block_covered")
     assert {hit for *_, hit in got} == {True, False}
+
+
+@pytest.mark.parametrize("name", ["q33_block_bitmap", "q33_block_covered"])
+def test_blocks_of_parts_beyond_an_int_and_of_none(spark, tmp_path, name):
+    """Numbers of blocks past 2^31, parts without a key, and empty ranges of those."""
+    part = "case when k % 5 > 0 then k % 50 * 1000000000000 end"
+    far = duckdb.connect()
+    far.execute(f"copy (select k * 4 + 1 as l_orderkey, {part} as l_partkey, (k % 7 + 1)::int as l_linenumber, (k % 50 + 1)::double as l_quantity from range(1, 400) a(k)) to '{tmp_path}/lineitem.parquet' (format parquet)")
+    far.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    r = far.execute(catalog.ORACLES[name])
+    cols = [x[0] for x in r.description]
+    got = [tuple(x) for x in catalog.QUERIES[name](spark, str(tmp_path)).select(cols).collect()]
+    assert sorted(got, key=str) == sorted(r.fetchall(), key=str)
+    assert any(x[cols.index("id")] is None for x in got) and max(x[cols.index("id")] or 0 for x in got) * 7 >> 16 >= 1 << 31
