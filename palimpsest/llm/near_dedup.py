@@ -215,12 +215,11 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = cut(classes.join(met, "node", "left_semi").select("hi", "lo", "node", "rep"), "wanted")
     sets = cut(_sets_of(docs.select("doc_id", "text"), k, wanted), "sets")
-    links = cut(_verified(pairs, sets, percent), "links")
-    labels = components(links)
-    found = cut(_unresolved(pairs, labels, classes, sets, percent), "links")
+    # Links are written by components(), not here too: on a local file system, each file takes children of an executor's JVM.
+    labels = components(_verified(pairs, sets, percent))
+    above = components(_unresolved(pairs, labels, classes, sets, percent)).toDF("root", "above")
     named = classes.join(labels, "node", "left").select("hi", "lo", "rep", F.coalesce("root", "node").alias("root"))
-    if not found.isEmpty():
-        above = components(found).toDF("root", "above")
+    if not above.isEmpty():
         named = named.join(above, "root", "left").select("hi", "lo", "rep", F.coalesce("above", "root").alias("root"))
     named = cut(named, "named")
     least = cut(named.groupBy("root").agg(F.min("rep").alias("least")), "least")

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from palimpsest.llm import common
 from palimpsest.llm import near_dedup as N
 from palimpsest.llm.common import components
 
@@ -45,6 +46,17 @@ def test_chains_within_a_bucket(spark):
     assert {r.component_id for r in N.near_duplicates(documents(spark, t)).collect()} == {0}
 
 
+def test_links_are_written_once(spark, monkeypatch):
+    """Links, those of the pivots and those of the blocks, are written as the edges of their components and nowhere else."""
+    written = []
+    for m in (N, common):
+        monkeypatch.setattr(m, "cut", lambda df, name="t", f=m.cut: written.append((name, df.columns)) or f(df, name))
+    w = [f"w{i}" for i in range(400)]
+    t = {i: " ".join(w[i * 4 : i * 4 + 200]) for i in range(40)}
+    assert {r.component_id for r in N.near_duplicates(documents(spark, t)).collect()} == {0}
+    assert [name for name, columns in written if name == "links" or columns == ["u", "v"] and name == "edges"] == ["edges", "edges"]
+
+
 def test_similar_texts_that_are_not_linked(spark, monkeypatch):
     """Many texts of about 0.7, in buckets of several blocks, some of them linked in pairs."""
     monkeypatch.setattr(N, "BLOCK", 8)
