@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,7 +67,9 @@ def _starts(rows: DataFrame, weight: str | None = None) -> tuple[DataFrame, int]
     for p, n in sizes:
         before.append((p, total))
         total += n
-    return rows.sparkSession.createDataFrame(before, "__part long, __start long"), total
+    # As Arrow: from Python rows, each executor would start Python workers of another kind, which stay for later stages.
+    parts, starts = zip(*before, strict=True) if before else ((), ())
+    return rows.sparkSession.createDataFrame(pa.table({"__part": pa.array(parts, pa.int64()), "__start": pa.array(starts, pa.int64())})), total
 
 
 def cuts(docs: DataFrame, name: str, cells: int) -> list[tuple[object, int]]:

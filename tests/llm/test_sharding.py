@@ -19,6 +19,17 @@ def test_curve(spark, n, bits):
     assert all(sum(abs(a - b) for a, b in zip(got[h], got[h + 1], strict=True)) == 1 for h in range(len(got) - 1))
 
 
+@pytest.mark.parametrize("n", [0, 1, 500])
+def test_starts_need_no_python_rows(spark, n):
+    """What comes before each partition is a local relation: rows from Python would start Python workers in the executors."""
+    rows = spark.range(n).repartition(3).select((F.shiftleft(F.spark_partition_id().cast("long"), 33)).alias("__at"))
+    starts, total = H._starts(rows)
+    got = sorted(starts.collect())
+    assert total == n and [s for _, s in got][:1] == [0] * min(n, 1)
+    assert "RDD" not in starts._jdf.queryExecution().logical().toString()
+    assert starts.dtypes == [("__part", "bigint"), ("__start", "bigint")]
+
+
 @pytest.mark.parametrize("n", [0, 1, 23, 24, 25, 500])
 def test_law(spark, n):
     d = documents(spark, {i: "x" * (i % 7) for i in range(n)}, source=lambda i: f"s{i % 5}", lang="en")
